@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quadrille.llm import exact_dedup, line_dedup
+from quadrille.llm import exact_dedup, line_dedup, mixing, quality
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -16,17 +16,47 @@ def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.annotate(_table(spark, sf_dir, "documents"))
 
 
+#: Target weights of the corpus's sources; whatever else turns up shares OTHER_WEIGHT.
+SOURCE_WEIGHTS = {f"src{k}": float(4 + 3 * k % 7) for k in range(20)}
+OTHER_WEIGHT, MIX_SEED = 4.0, 17
+
+
+def op1_poisson_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(_table(spark, sf_dir, "documents"), SOURCE_WEIGHTS, OTHER_WEIGHT, seed=MIX_SEED)
+
+
+def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = quality.assess(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return judged.select("doc_id", *quality.BASE, "base_failed", "posterior", "kept")
+
+
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     cleaned = line_dedup.clean(_table(spark, sf_dir, "documents").select("doc_id", "text"))
     return cleaned.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
 
 
 QUERIES = {
+    "op1_poisson_mix": op1_poisson_mix,
+    "op4_quality_rules": op4_quality_rules,
     "op3_line_dedup": op3_line_dedup,
     "op5_exact_dedup": op5_exact_dedup,
 }
 
+_WEIGHT_ROWS = ", ".join(f"('{k}', {v})" for k, v in SOURCE_WEIGHTS.items())
+
 ORACLE_SQL = {
+    "op1_poisson_mix": f"""
+        WITH w(g, weight) AS (VALUES {_WEIGHT_ROWS}, ('other', {OTHER_WEIGHT})),
+        d AS (SELECT *, CASE WHEN source IN (SELECT g FROM w WHERE g <> 'other') THEN source ELSE 'other' END AS g FROM documents),
+        s AS (SELECT g, sum(length(coalesce(text, '')))::DOUBLE AS size FROM d GROUP BY g),
+        r AS (SELECT g, weight / sum(weight) OVER () * (sum(size) OVER ()) / size AS rate FROM s JOIN w USING (g) WHERE size > 0),
+        c AS (SELECT g, k, sum(exp(k * ln(rate) - rate - lgamma(k + 1))) OVER (PARTITION BY g ORDER BY k) AS step
+              FROM r, (SELECT unnest(range(0, 200)) AS k)),
+        u AS (SELECT *, ('0x' || substr(md5('{MIX_SEED}:' || doc_id || ':1'), 1, 13))::BIGINT / 4503599627370496.0 AS u FROM d),
+        n AS (SELECT doc_id, text, lang, source, n_chars, (SELECT count(*) FROM c WHERE c.g = u.g AND c.step <= u.u)::INT AS copies FROM u),
+        e AS (SELECT *, unnest(range(0, copies))::INT AS copy FROM n WHERE copies > 0)
+        SELECT *, ('0x' || substr(md5('{MIX_SEED}:' || doc_id || ':copy:' || copy), 1, 15))::BIGINT AS shuffle_key FROM e
+    """,
     "op3_line_dedup": r"""
         WITH l AS (
             SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line,
