@@ -28,7 +28,10 @@ RESULT = (*COUNTS, "base_failed", "posterior", "kept")
 
 
 def counted(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """The rows with the columns of COUNTS.  All work is inside the row."""
+    """The rows with the columns of COUNTS.  All work is inside the row.
+
+    Write the result before filtering on it: a filter pushed below would repeat the work for every element.
+    """
     text = whole(text_col)
     lines = F.filter(F.split(text, "\n", -1), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
     split = docs.withColumn("__words", F.regexp_extract_all(text, F.lit(WORD), F.lit(0))).withColumn("__lines", lines)
@@ -85,7 +88,7 @@ def rules() -> dict[str, Column]:
     }
 
 
-def fit(patterns: dict[int, int], n_rules: int, good: float = 0.85, caught: float = 0.3, alarm: float = 0.002, strength: float = 0.25, rounds: int = 200) -> tuple[float, list[tuple[float, float, float]]]:
+def fit(patterns: dict[int, int], n_rules: int, good: float = 0.8, caught: float = 0.15, alarm: float = 0.001, strength: float = 4.0, rounds: int = 200) -> tuple[float, list[tuple[float, float, float]]]:
     """Expectation-maximisation over counts of vote patterns (base 3, first rule least).
 
     Returns the log-odds of being good before any vote, and for each rule the log-odds that each of its votes adds.  An
