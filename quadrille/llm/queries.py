@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quadrille.llm import exact_dedup, line_dedup, mixing, quality
+from quadrille.llm import exact_dedup, line_dedup, mixing, ngram_join, quality
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -30,6 +30,10 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", *quality.BASE, "base_failed", "posterior", "kept")
 
 
+def op7_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.components(_table(spark, sf_dir, "documents"))
+
+
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     cleaned = line_dedup.clean(_table(spark, sf_dir, "documents").select("doc_id", "text"))
     return cleaned.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
@@ -40,6 +44,7 @@ QUERIES = {
     "op4_quality_rules": op4_quality_rules,
     "op3_line_dedup": op3_line_dedup,
     "op5_exact_dedup": op5_exact_dedup,
+    "op7_ngram_jaccard": op7_ngram_jaccard,
 }
 
 _WEIGHT_ROWS = ", ".join(f"('{k}', {v})" for k, v in SOURCE_WEIGHTS.items())
