@@ -1,22 +1,64 @@
-"""The corpus pipeline: quality rules, exact dedup, near dedup, source mixing, packing."""
+"""The corpus pipeline: quality rules, exact dedup, near dedup, source mixing, packing.
+
+Every stage gets all that its predecessor kept, as a table written in the shared folder, and all but the last return
+the columns of ``documents``.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from quadrille.llm import exact_dedup, mixing, ngram_join, packing, quality
+from quadrille.llm.common import materialise
+from quadrille.llm.queries import MIX_SEED, OTHER_WEIGHT, SOURCE_WEIGHTS, tokenizer_path
+
 
-from quadrille.llm import exact_dedup
+def _columns(docs: DataFrame) -> list:
+    return [F.col(f"`{c}`") for c in docs.columns]
 
 
-def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose posterior quality is too low, or that fail the base rules, go."""
+    return quality.assess(docs, carry=True).where("kept").select(*_columns(docs))
+
+
+def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of equal texts the row with the smallest doc_id stays."""
     return exact_dedup.drop_duplicates(docs)
 
 
-STAGES = [("exact dedup", exact)]
+def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near copies the document with the smallest doc_id stays."""
+    return ngram_join.drop_near_duplicates(docs)
+
+
+def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents are repeated, once on average, so that sources reach their target weights."""
+    return mixing.mix(docs, SOURCE_WEIGHTS, OTHER_WEIGHT, seed=MIX_SEED).select(*_columns(docs))
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of all copies in sequences."""
+    return packing.pack(docs, tokenizer_path(), keep_ids=False)
+
+
+STAGES = [
+    ("quality rules", quality_rules),
+    ("exact dedup", exact_copies),
+    ("near dedup", near_copies),
+    ("source mix", source_mix),
+    ("packing", pack),
+]
+
+#: Packing needs a tokenizer, which SQL can't express; the stages are tested against brute force instead.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
+    for k, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
+        if k + 1 < len(STAGES):
+            docs = materialise(docs, "stage")
     return docs

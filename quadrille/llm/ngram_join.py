@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quadrille.llm.common import BROADCAST_ROWS, look_up, materialise
+from quadrille.llm.common import BROADCAST_ROWS, look_up, materialise, small
 from quadrille.llm.components import connected
 
 WORDS, PERCENT = 5, 80
@@ -294,3 +294,14 @@ def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     joined = look_up(keyed.where("n > 0"), "key", table, "rows", total, "id")
     out = joined.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.when(F.col("rows").isNull(), F.col("id")).otherwise(F.col("component")).alias("component_id"))
     return out.unionByName(keyed.where("n = 0").select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.col("id").alias("component_id")))
+
+
+def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows that stay, with all their columns: of each component, those whose doc_id is its smallest.
+
+    Run exact dedup first: rows that repeat the kept id all stay.  If rows share a doc_id but not the text, all go with
+    the first that goes.
+    """
+    found = components(docs, id_col, text_col)
+    gone = materialise(found.where("doc_id <> component_id").select(F.col("doc_id").alias("__gone")).distinct(), "near-copies")
+    return docs.join(small(gone), F.col(f"`{id_col}`") == F.col("__gone"), "left_anti")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quadrille.llm import exact_dedup, line_dedup, mixing, ngram_join, quality
+from quadrille.llm import exact_dedup, lengths, line_dedup, mixing, ngram_join, packing, quality
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -34,6 +34,21 @@ def op7_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.components(_table(spark, sf_dir, "documents"))
 
 
+def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
+    """Where the public tokenizer file lies; it is read there and never copied."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op6_cutting_stock(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(_table(spark, sf_dir, "documents"), tokenizer_path(), keep_ids=False)
+
+
+def op9_token_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lengths.context_totals(lengths.histogram(_table(spark, sf_dir, "documents"), tokenizer_path()))
+
+
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     cleaned = line_dedup.clean(_table(spark, sf_dir, "documents").select("doc_id", "text"))
     return cleaned.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
@@ -44,7 +59,9 @@ QUERIES = {
     "op4_quality_rules": op4_quality_rules,
     "op3_line_dedup": op3_line_dedup,
     "op5_exact_dedup": op5_exact_dedup,
+    "op6_cutting_stock": op6_cutting_stock,
     "op7_ngram_jaccard": op7_ngram_jaccard,
+    "op9_token_lengths": op9_token_lengths,
 }
 
 _WEIGHT_ROWS = ", ".join(f"('{k}', {v})" for k, v in SOURCE_WEIGHTS.items())
