@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quadrille.llm import exact_dedup, lengths, line_dedup, mixing, ngram_join, packing, quality
+from quadrille.llm import exact_dedup, lengths, licenses, line_dedup, mixing, ngram_join, packing, quality, url_filters
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -49,6 +49,22 @@ def op9_token_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lengths.context_totals(lengths.histogram(_table(spark, sf_dir, "documents"), tokenizer_path()))
 
 
+URL_RULES = [("block", "com/en/"), ("allow", "example.com/en/7"), ("allow", "net/de/"), ("block", "example.net/de/8"), ("block", "org/es/")]
+
+
+def op8_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last number of a url's path is the doc_id of the text on the page, whose quality label says if the page is bad."""
+    pages = _table(spark, sf_dir, "pages").select("page_id", "url")
+    labels = _table(spark, sf_dir, "labels").groupBy("doc_id").agg((1 - F.min("quality")).alias("bad"))
+    number = F.regexp_extract(url_filters.path_of(F.col("url")), "([0-9]{1,18})[^0-9/]*/?$", 1)
+    numbered = pages.select("url", F.when(number != "", number.cast("long")).alias("doc_id")).where("doc_id IS NOT NULL")
+    return url_filters.judge(pages, URL_RULES, numbered.join(labels, "doc_id").select("url", "bad"))
+
+
+def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(_table(spark, sf_dir, "documents"))
+
+
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     cleaned = line_dedup.clean(_table(spark, sf_dir, "documents").select("doc_id", "text"))
     return cleaned.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
@@ -61,7 +77,9 @@ QUERIES = {
     "op5_exact_dedup": op5_exact_dedup,
     "op6_cutting_stock": op6_cutting_stock,
     "op7_ngram_jaccard": op7_ngram_jaccard,
+    "op8_url_filters": op8_url_filters,
     "op9_token_lengths": op9_token_lengths,
+    "op10_license_scan": op10_license_scan,
 }
 
 _WEIGHT_ROWS = ", ".join(f"('{k}', {v})" for k, v in SOURCE_WEIGHTS.items())

@@ -86,3 +86,27 @@ def near(docs):
         r = find(k)
         least[r] = i if least[r] is None else min(least[r], i)
     return [(i, len(sets[k]), least[find(k)]) for k, (i, _) in enumerate(docs)]
+
+
+def licence_base(text):
+    w = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", ascii_lower(text))
+    phrases = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved": "reserved"}
+    places = {p: [i for i in range(len(w)) if w[i : i + len(p.split())] == p.split()] for p in phrases}
+    every = [i for x in places.values() for i in x]
+    return len(w), len(every), min(every, default=None), max(every, default=None), ",".join(sorted(phrases[p] for p in places if places[p]))
+
+
+def url_base(url):
+    url = url or ""
+    if "://" not in url:
+        return "", "", None, None
+    rest = url.split("://", 1)[1]
+    host = re.match(r"[^/?#]*", rest).group()
+    path = re.match(r"[^?#]*", rest[len(host) :]).group()
+    host = ascii_lower(host)
+    best = None
+    for verdict, rule in [("block", "com/en/"), ("allow", "example.com/en/7"), ("allow", "net/de/"), ("block", "example.net/de/8"), ("block", "org/es/")]:
+        h, p = rule.split("/", 1)
+        if (host == h or host.endswith("." + h)) and path.startswith("/" + p) and (best is None or len(rule) > len(best[0])):
+            best = (rule, verdict)
+    return host, path, *(best or (None, None))
