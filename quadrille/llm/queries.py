@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quadrille.llm import exact_dedup, lengths, licenses, line_dedup, mixing, ngram_join, packing, quality, url_filters
+from quadrille.llm import exact_dedup, lengths, licenses, line_dedup, mixing, ngram_join, packing, pii, quality, url_filters
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -25,6 +25,10 @@ def op1_poisson_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_table(spark, sf_dir, "documents"), SOURCE_WEIGHTS, OTHER_WEIGHT, seed=MIX_SEED)
 
 
+def op2_pii_boosting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.report(_table(spark, sf_dir, "documents"))
+
+
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = quality.assess(_table(spark, sf_dir, "documents").select("doc_id", "text"))
     return judged.select("doc_id", *quality.BASE, "base_failed", "posterior", "kept")
@@ -72,8 +76,9 @@ def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_poisson_mix": op1_poisson_mix,
-    "op4_quality_rules": op4_quality_rules,
+    "op2_pii_boosting": op2_pii_boosting,
     "op3_line_dedup": op3_line_dedup,
+    "op4_quality_rules": op4_quality_rules,
     "op5_exact_dedup": op5_exact_dedup,
     "op6_cutting_stock": op6_cutting_stock,
     "op7_ngram_jaccard": op7_ngram_jaccard,
