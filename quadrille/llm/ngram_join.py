@@ -5,7 +5,8 @@
 2. Two sets of Jaccard similarity t or more share one of the first ``p`` = n - ceil(t * n) + 1 elements of either, in
    any order of elements that all sets use.  The order is by the number of sets an element is in: elements of one set
    alone come first and lead nowhere, so a set with ``p`` of them has no partner, and passages that many texts share
-   come last.  To count, each set sends the elements below a fixed hash bound, or its first ``p`` if those are fewer.
+   come last.  To count, each set sends the elements below a fixed hash bound, which come before the others in the
+   order, or all its elements if fewer than ``p`` lie below.
 3. Sets that share such an element, directly or through others, form a family.  In a family the sets are banded by size,
    so that partners lie in one band or in neighbouring ones, bands are cut into blocks, and pairs of blocks make tiles of
    bounded size.  Within a tile, a hashed bitmap of each set gives an upper bound of the overlap by counting bits, and
@@ -35,8 +36,8 @@ from quadrille.llm.common import BROADCAST_ROWS, look_up, materialise, small
 from quadrille.llm.components import connected
 
 WORDS, PERCENT = 5, 80
-#: Share of the hash range that is counted; a little over the prefix's share of a set.
-COUNTED = 0.23
+#: Share of the hash range that comes first; so much over the prefix's share of a set that few sets need the rest.
+COUNTED = 0.28
 #: Sets in a block at most, about; a tile has two blocks.
 BLOCK = 1500
 #: An element in at least one of HOT_SHARE counted rows is hot.
@@ -93,7 +94,7 @@ def _signed(x: np.ndarray) -> pa.Array:
 
 
 def _sets(docs: DataFrame, id_col: str, text_col: str, seed: int) -> DataFrame:
-    """id, n, digest, node, first, rest: first are the counted elements below the bound, rest those above it that a short prefix needs.
+    """id, n, digest, node, below, elements: below counts the elements under the bound, elements are those that are sent.
 
     A task sends the elements of a set once, so copies of a text add nothing.
     """
@@ -102,35 +103,33 @@ def _sets(docs: DataFrame, id_col: str, text_col: str, seed: int) -> DataFrame:
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sent: set[bytes] = set()
         for batch in batches:
-            sizes, digests, nodes, first, rest = [], [], [], [], []
+            sizes, digests, nodes, below, elements = [], [], [], [], []
             for text in batch.column(text_col).cast(pa.binary()).to_pylist():
                 have = shingle_hashes(text or b"", seed)
                 digest = blake2b(have.tobytes(), digest_size=16).digest()
+                low = int(np.searchsorted(have, bound))
                 sizes.append(len(have))
                 digests.append(digest if len(have) else None)
                 nodes.append(int.from_bytes(digest[:8], "little", signed=True))
+                below.append(low)
                 if digest in sent or not len(have):
-                    first.append(None)
-                    rest.append(None)
+                    elements.append(None)
                     continue
                 if len(sent) >= 500_000:
                     sent.clear()
                 sent.add(digest)
-                below = int(np.searchsorted(have, bound))
-                first.append(have[:below].view(np.int64))
-                rest.append(have[below : max(below, prefix_length(len(have)))].view(np.int64))
-            kind = pa.list_(pa.int64())
+                elements.append((have[:low] if low >= prefix_length(len(have)) else have).view(np.int64))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(id_col), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), pa.array(nodes, pa.int64()), pa.array(first, kind), pa.array(rest, kind)],
-                ["id", "n", "digest", "node", "first", "rest"],
+                [batch.column(id_col), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), pa.array(nodes, pa.int64()), pa.array(below, pa.int64()), pa.array(elements, pa.list_(pa.int64()))],
+                ["id", "n", "digest", "node", "below", "elements"],
             )
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(id_col, text_col).mapInArrow(make, f"id {kind}, n long, digest binary, node long, first array<long>, rest array<long>")
+    return docs.select(id_col, text_col).mapInArrow(make, f"id {kind}, n long, digest binary, node long, below long, elements array<long>")
 
 
 def _count_elements(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (element, node, n, counted, above) of a partition with whole elements: those in two sets or more, with their number of sets."""
+    """Rows (element, node, n, below, above) of a partition with whole elements: those in two sets or more, with their number of sets."""
     held = [b for b in batches if b.num_rows]
     if not held:
         return
@@ -154,18 +153,18 @@ def _cut_prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         return
     table = pa.Table.from_batches(held)
     node, element, above = table["node"].to_numpy(), table["element"].to_numpy(), table["above"].to_numpy()
-    n, counted, sets = table["n"].to_numpy(), table["counted"].to_numpy(), table["sets"].to_numpy()
+    n, below, sets = table["n"].to_numpy(), table["below"].to_numpy(), table["sets"].to_numpy()
     order = np.lexsort((element, sets, above, node))
-    node, element, above, n, counted = node[order], element[order], above[order], n[order], counted[order]
+    node, element, above, n, below = node[order], element[order], above[order], n[order], below[order]
     once = np.concatenate([[True], (node[1:] != node[:-1]) | (element[1:] != element[:-1])])  # hot elements come from several tasks
-    node, element, above, n, counted = node[once], element[once], above[once], n[once], counted[once]
-    starts = np.flatnonzero(np.concatenate([[True], node[1:] != node[:-1]]))
-    group = np.cumsum(np.concatenate([[0], (node[1:] != node[:-1]).astype(np.int64)]))
-    shared = np.add.reduceat((~above).astype(np.int64), starts)[group]
-    rank = np.arange(len(node)) - starts[group]
-    alone = counted - shared  # elements of this set only, which come first
-    length = prefix_length(n)
-    stay = np.where(counted >= length, ~above & (rank < length - alone), True)
+    node, element, above, n, below = node[once], element[once], above[once], n[once], below[once]
+    # Places in the order: elements of this set only come first among those below the bound, and among those above it.
+    new = np.concatenate([[True], (node[1:] != node[:-1]) | (above[1:] != above[:-1])])
+    starts = np.flatnonzero(new)
+    group = np.cumsum(new) - 1
+    shared = np.diff(np.concatenate([starts, [len(node)]]))[group]
+    place = np.where(above, n, below) - shared + np.arange(len(node)) - starts[group]
+    stay = place < prefix_length(n)
     if stay.any():
         yield pa.RecordBatch.from_arrays([pa.array(element[stay]), pa.array(node[stay])], ["element", "node"])
 
@@ -216,16 +215,16 @@ def _tile(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
 
 def _families(found: DataFrame) -> DataFrame:
     """node, family of all nodes that share a prefix element with another."""
-    sets = found.select(F.explode(F.concat("first", "rest")).alias("element"), "node", "n", F.size("first").cast("long").alias("counted"), F.size("first").alias("k"))
+    sets = found.select(F.explode("elements").alias("element"), "node", "n", "below")
     bound = int(COUNTED * 2**64)
     # Elements are unsigned numbers held as signed ones.
     above = (F.col("element") < 0) | (F.col("element") >= bound) if bound < 2**63 else (F.col("element") < 0) & (F.col("element") >= bound - 2**64)
-    sets = sets.select("element", "node", "n", "counted", above.alias("above"))
+    sets = sets.select("element", "node", "n", "below", above.alias("above"))
     rows = sets.count()
     often = sets.agg(F.expr(f"approx_top_k(element, {HOT_SHARE}, {HOT_SHARE * 16})").alias("top")).first()
     hot = [x["item"] for x in (often["top"] or []) if x["count"] >= max(2, rows // HOT_SHARE)] if often else []
     known = F.broadcast(sets.sparkSession.createDataFrame([(x,) for x in hot], "element long"))
-    counted = sets.join(known, "element", "left_anti").repartition("element").mapInArrow(_count_elements, "element long, node long, n long, counted long, above boolean, sets long")
+    counted = sets.join(known, "element", "left_anti").repartition("element").mapInArrow(_count_elements, "element long, node long, n long, below long, above boolean, sets long")
     last = sets.join(known, "element").withColumn("sets", F.lit(2**62))
     keys = materialise(counted.unionByName(last).repartition("node").mapInArrow(_cut_prefixes, "element long, node long"), "prefixes")
     least = keys.groupBy("element").agg(F.min("node").alias("b"), F.count(F.lit(1)).alias("sets")).where("sets > 1")
@@ -235,7 +234,7 @@ def _families(found: DataFrame) -> DataFrame:
 
 def _links(docs: DataFrame, found: DataFrame, families: DataFrame, id_col: str, text_col: str, seed: int) -> DataFrame:
     """Verified links a, b that span every component of two nodes or more."""
-    reps = found.where("first IS NOT NULL").groupBy("node").agg(F.min("id").alias("id"), F.max("n").alias("n"))
+    reps = found.where("elements IS NOT NULL").groupBy("node").agg(F.min("id").alias("id"), F.max("n").alias("n"))
     families = materialise(families.join(reps, "node"), "families")
     # Sizes s and s * 100 / PERCENT are in one band or in neighbouring ones.
     banded = families.withColumn("band", F.floor(F.log(F.col("n").cast("double")) / math.log(100 / PERCENT) + 1e-9))
@@ -282,7 +281,7 @@ def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         if kinds.where("x <> y").isEmpty():
             break
         seed += 1  # two sets share the 64 bits that name a node
-    links = materialise(_links(docs, found, _families(found.where("first IS NOT NULL")), "doc_id", "text", seed), "links")
+    links = materialise(_links(docs, found, _families(found.where("elements IS NOT NULL")), "doc_id", "text", seed), "links")
     labels = connected(links)
     nodes = found.where("n > 0").groupBy("node").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("rows"))
     labelled = nodes.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
