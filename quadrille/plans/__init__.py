@@ -1,0 +1 @@
+"""From text to DataFrames."""

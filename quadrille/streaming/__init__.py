@@ -1,0 +1 @@
+"""Left empty: the query surface has no streams, and tables are read as whole versions."""
