@@ -25,6 +25,8 @@ from quadrille.llm.common import whole
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: A word before lower-casing.
 RAW_WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+#: A word after it.
+WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 #: Phrases that are always reported, with their labels.
 PHRASES = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved": "reserved"}
@@ -60,7 +62,7 @@ def _index(notices: list[tuple[str, str, str]]) -> list[dict]:
         idf = {w: math.log((1 + len(notices)) / held[w]) for w in line}
         phrase = key.split()
         at = next(k for k in range(len(line)) if line[k : k + len(phrase)] == phrase)
-        out.append({"label": label, "words": line, "mass": [idf[w] / sum(idf[x] for x in line) for w in line], "rare": sorted(idf, key=lambda w: (-idf[w], line.index(w))), "key_at": at, "key_end": at + len(phrase)})
+        out.append({"label": label, "words": line, "mass": [idf[w] / sum(idf[x] for x in line) for w in line], "rare": sorted(idf, key=lambda w: (-idf[w], line.index(w))), "key": phrase, "key_at": at, "key_end": at + len(phrase)})
     return out
 
 
@@ -71,7 +73,7 @@ def _let(value: Column, body) -> Column:
 
 def _literal(index: list[dict]) -> Column:
     rows = [
-        F.struct(F.lit(x["label"]).alias("label"), F.array(*map(F.lit, x["words"])).alias("words"), F.array(*map(F.lit, x["mass"])).alias("mass"), F.array(*map(F.lit, x["rare"])).alias("rare"), F.lit(x["key_at"]).alias("key_at"), F.lit(x["key_end"]).alias("key_end"))
+        F.struct(F.lit(x["label"]).alias("label"), F.array(*map(F.lit, x["words"])).alias("words"), F.array(*map(F.lit, x["mass"])).alias("mass"), F.array(*map(F.lit, x["rare"])).alias("rare"), F.array(*map(F.lit, x["key"])).alias("key"), F.lit(x["key_at"]).alias("key_at"), F.lit(x["key_end"]).alias("key_end"))
         for x in index
     ]
     return F.array(*rows)
@@ -90,20 +92,15 @@ def _phrase_places(words: Column, phrase: str) -> Column:
     return F.when(last >= 0, F.filter(F.sequence(F.lit(0), last), stands)).otherwise(F.array().cast("array<int>"))
 
 
-def _matches(words: Column, notices: Column) -> Column:
-    """label, score of every aligned notice with its key phrase."""
-    placed = F.transform(words, lambda w, i: F.struct(w.alias("w"), i.alias("i")))
-    vocabulary = sorted({w for _, n, _ in NOTICES for w in n.split()})
-    hits = F.filter(placed, lambda x: x.w.isin(vocabulary))
+def _matches(words: Column, present: Column, notices: Column) -> Column:
+    """label, score of every aligned notice with its key phrase.  ``present`` are the known words that the text has."""
 
-    def of_notice(t: Column, known: Column) -> Column:
-        anchors = F.slice(F.filter(t.rare, lambda w: F.exists(known, lambda h: h.w == w)), 1, ANCHORS)
-        begins = F.flatten(
-            F.transform(
-                F.filter(known, lambda h: F.array_contains(anchors, h.w)),
-                lambda h: F.filter(F.transform(t.words, lambda w, j: F.when(w == h.w, h.i - j)), lambda b: b.isNotNull()),
-            )
-        )
+    def begins_of(t: Column, anchors: Column) -> Column:
+        hits = F.filter(F.transform(words, lambda w, i: F.when(F.array_contains(anchors, w), F.struct(w.alias("w"), i.alias("i")))), lambda h: h.isNotNull())
+        return F.flatten(F.transform(hits, lambda h: F.filter(F.transform(t.words, lambda w, j: F.when(w == h.w, h.i - j)), lambda b: b.isNotNull())))
+
+    def of_notice(t: Column) -> Column:
+        begins = _let(F.slice(F.array_intersect(t.rare, present), 1, ANCHORS), lambda anchors: begins_of(t, anchors))
 
         def scored(b: Column) -> Column:
             right = F.transform(t.words, lambda w, j: F.coalesce((b + j >= 0) & (F.get(words, F.greatest(b + j, F.lit(0))) == w), F.lit(False)))
@@ -113,37 +110,55 @@ def _matches(words: Column, notices: Column) -> Column:
 
         return F.transform(F.array_distinct(begins), scored)
 
-    every = _let(hits, lambda known: F.flatten(F.transform(notices, lambda t: of_notice(t, known))))
-    return F.filter(every, lambda x: x.score >= LEAST_SCORE)
+    possible = F.filter(notices, lambda t: F.size(F.array_except(t.key, present)) == 0)
+    return F.filter(F.flatten(F.transform(possible, of_notice)), lambda x: x.score >= LEAST_SCORE)
+
+
+def _gate(low: Column) -> Column:
+    """Whether a text in lower case can hold a phrase or notice: a telling word of it, or a short phrase as such."""
+    words, patterns = set(), set()
+    for phrase in [*PHRASES, *(key for _, _, key in NOTICES)]:
+        parts = phrase.split()
+        telling = "license" if "license" in parts else max(parts, key=len)
+        if len(telling) > 3:
+            words.add(telling)
+        else:
+            patterns.add(r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+".join(map(re.escape, parts[:2])))
+    tests = [F.contains(low, F.lit(w)) for w in sorted(words)] + [low.rlike(p) for p in sorted(patterns)]
+    out = tests[0]
+    for t in tests[1:]:
+        out = out | t
+    return out
 
 
-def _gate() -> str:
-    """A regular expression that every text with a phrase or notice matches: one word of each phrase or key phrase."""
-    need = {max(p.split(), key=len) for p in [*PHRASES, *(k for _, _, k in NOTICES)]} - {"license"}
-    return "(?i)" + "|".join(sorted({"licen", *map(re.escape, need)}))
+def _lower(text: Column) -> Column:
+    """Lower case that agrees with that of A-Z in all ASCII letters; two other letters would turn into such."""
+    return F.when(text.rlike("[\u0130\u212A]"), F.translate(text, UPPER, LOWER)).otherwise(F.lower(text))
 
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row: doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score."""
     text = whole(text_col)
-    raw = F.regexp_extract_all(text, F.lit(RAW_WORD), F.lit(0))
-    none = F.array().cast("array<string>")
+    known = sorted({w for p in [*PHRASES, *(n for _, n, _ in NOTICES)] for w in p.split()})
 
-    def examined(words: Column) -> Column:
-        places = [_phrase_places(words, p) for p in PHRASES]
+    def examined(words: Column, present: Column) -> Column:
+        places = [F.when(F.size(F.array_except(F.array(*map(F.lit, p.split())), present)) == 0, _phrase_places(words, p)).otherwise(F.array().cast("array<int>")) for p in PHRASES]
         return F.struct(
             F.array(*[F.size(p) for p in places]).alias("counts"),
             F.array_min(F.concat(*places)).cast("long").alias("first"),
             F.array_max(F.concat(*places)).cast("long").alias("last"),
-            _matches(words, _literal(_index(NOTICES))).alias("found"),
+            _matches(words, present, _literal(_index(NOTICES))).alias("found"),
         )
 
-    gated = F.when(text.rlike(_gate()), F.transform(raw, lambda w: F.translate(w, UPPER, LOWER))).otherwise(none)
-    # ``seen`` is used more than once below, so that the optimizer keeps it as a column of its own.
-    seen = docs.select(F.col(id_col).alias("doc_id"), F.regexp_count(text, F.lit(RAW_WORD)).cast("long").alias("n_words"), _let(gated, examined).alias("seen"))
-    counts = [F.col("seen.counts")[k] for k in range(len(PHRASES))]
+    texts = docs.select(F.col(id_col).alias("doc_id"), text.alias("text"))
+    words = F.regexp_extract_all(F.col("low"), F.lit(WORD), F.lit(0))
+    whole_text = _let(words, lambda w: _let(F.array_intersect(F.array(*map(F.lit, known)), w), lambda present: examined(w, present)))
+    # ``low`` and ``seen`` are used more than once below, so that the optimizer keeps them as columns of their own.
+    lowered = texts.select("doc_id", F.regexp_count("text", F.lit(RAW_WORD)).cast("long").alias("n_words"), _lower(F.col("text")).alias("low"))
+    seen = lowered.select("doc_id", "n_words", F.when(_gate(F.col("low")), whole_text).alias("seen"))
+    counts = [F.coalesce(F.col("seen.counts")[k], F.lit(0)) for k in range(len(PHRASES))]
     base = F.filter(F.array(*[F.when(c > 0, F.lit(label)) for c, label in zip(counts, PHRASES.values(), strict=True)]), lambda x: x.isNotNull())
-    labels = F.array_sort(F.array_union(base, F.transform("seen.found", lambda x: x.label)))
+    labels = F.array_sort(F.array_union(base, F.coalesce(F.transform("seen.found", lambda x: x.label), F.array().cast("array<string>"))))
     best = F.coalesce(F.array_max(F.transform("seen.found", lambda x: x.score)), F.lit(0.0))
     n_base = sum(counts[1:], counts[0]).cast("long")
     return seen.select(
