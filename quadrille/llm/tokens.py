@@ -12,6 +12,8 @@ from tokenizers import Tokenizer
 _ODD = re.compile("[\x1c-\x1f]")
 #: Letters of Latin-1 with any ASCII punctuation behind, which the tokenizer cuts into one word and one run of symbols.
 _PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-/:-@\[-`{-~]*)")
+#: Symbols right before a comma or full stop belong to one run with it.
+_RUN = re.compile(r"[,.](?<=[^\w\s].|_.)[ \n]")
 #: Encoded chunks that a worker keeps.
 CACHE = 400_000
 
@@ -28,7 +30,7 @@ class _Chunks(dict):
 
     def __init__(self, tokenizer: Tokenizer):
         super().__init__()
-        self.tokenizer, self.model, self.tails = tokenizer, tokenizer.model, {"": b""}
+        self.tokenizer, self.model, self.tails, self.words = tokenizer, tokenizer.model, {"": b""}, {}
         letters = _byte_letters()
         self.spelt = {c: "".join(letters[b] for b in chr(c).encode()) for c in range(0xDF, 0x100)}
 
@@ -44,14 +46,32 @@ class _Chunks(dict):
                 if len(self.tails) >= CACHE:
                     self.tails = {"": b""}
                 self.tails[tail] = self.whole(tail)
-            ids = [t.id for t in self.model.tokenize(word.lower().translate(self.spelt))]
-            found = np.array(ids, "<u4").tobytes() + self.tails[tail]
+            word = word.lower()
+            found = self.words.get(word)
+            if found is None:
+                if len(self.words) >= CACHE:
+                    self.words.clear()
+                spelt = word if word.isascii() else word.translate(self.spelt)
+                found = self.words[word] = np.array([t.id for t in self.model.tokenize(spelt)], "<u4").tobytes()
+            if tail:
+                found += self.tails[tail]
         else:
             found = self.whole(chunk)
         self[chunk] = found
         return found
 
 
+def _latin(text: str) -> bool:
+    """Whether all letters are of Latin-1, where lower-casing and normalisation go letter by letter."""
+    if text.isascii():
+        return True
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return False
+    return True
+
+
 def encoder(tokenizer_json: str, by_chunk: bool) -> Callable[[str], bytes]:
     """A function from a text to its ids, as little-endian 32-bit numbers.
 
@@ -64,6 +84,12 @@ def encoder(tokenizer_json: str, by_chunk: bool) -> Callable[[str], bytes]:
         return chunks.whole
 
     def encode(text: str) -> bytes:
-        return chunks.whole(text) if _ODD.search(text) else b"".join(map(chunks.__getitem__, text.split()))
+        if _ODD.search(text):
+            return chunks.whole(text)
+        if _latin(text) and "<|" not in text:  # special tokens are written in lower case
+            text = text.lower()
+            if not _RUN.search(text):  # a comma or full stop behind a word is a token of its own
+                text = text.replace(", ", " , ").replace(". ", " . ").replace(".\n", " .\n")
+        return b"".join(map(chunks.__getitem__, text.split()))
 
     return encode
