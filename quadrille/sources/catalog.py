@@ -9,6 +9,7 @@ never change a result.
 from __future__ import annotations
 
 import json
+import logging
 import threading
 import uuid
 from collections.abc import Callable
@@ -23,6 +24,8 @@ from quadrille.sources import delimited
 from quadrille.sources.delimited import LoadReport
 from quadrille.types import RID, TableSpec
 
+log = logging.getLogger(__name__)
+
 
 class Catalog:
     """Tables below a folder, which can be in any store that Spark reaches."""
@@ -69,6 +72,7 @@ class Catalog:
         if fs.exists(final) or not fs.rename(draft, final):
             fs.delete(draft, False)
             raise EngineError(f"table '{table}' was changed by another writer; try again")
+        log.info("table %s is at version %d: %d parts, %d deletions", table, version, len(manifest["parts"]), len(manifest["deleted"]))
 
     def _write(self, spec: TableSpec, rows: DataFrame) -> str:
         part = f"part-{uuid.uuid4().hex}"
@@ -96,9 +100,14 @@ class Catalog:
     def spec(self, table: str) -> TableSpec:
         return TableSpec.from_json(self._manifest(table)["spec"])
 
-    def read(self, table: str) -> DataFrame:
-        """The rows of the current version, with RID."""
-        return self._read(self._manifest(table))
+    def read(self, table: str, deleted: bool = False) -> DataFrame:
+        """The rows of the current version, with RID; with ``deleted`` also those whose deletion hasn't been compacted."""
+        manifest = self._manifest(table)
+        return self._read(manifest | {"deleted": []} if deleted else manifest)
+
+    def describe(self, table: str) -> dict:
+        """The current manifest: version, columns, parts, deletions, and next_rid, the number of rows ever given an id."""
+        return self._manifest(table)
 
     def _read(self, manifest: dict) -> DataFrame:
         spec = TableSpec.from_json(manifest["spec"])

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from quadrille import cli
 from quadrille.errors import BindError, DialectError, EngineError
+from quadrille.functions import boxes
 from quadrille.functions.points import minimum_distance, point
 from quadrille.http import server
 from quadrille.operators import relational as op
@@ -48,7 +49,9 @@ def test_rows_in_order_equality_range_delete(engine):
     assert last(engine, "SELECT * FROM clients WHERE id = 2") == []
     engine.run("INSERT INTO clients VALUES (2, 'Beto again', 23)")
     assert last(engine, "SELECT name FROM clients WHERE id = 2") == [("Beto again",)]
+    assert engine.catalog.read("clients", deleted=True).count() == 4 and engine.catalog.describe("clients")["next_rid"] == 4
     engine.catalog.compact("clients")
+    assert engine.catalog.read("clients", deleted=True).count() == 3
     assert last(engine, "SELECT COUNT(*) FROM clients") == [(3,)]
 
 
@@ -131,6 +134,17 @@ def test_radius_and_nearest_against_brute_force(spark):
     assert spark.range(1).select(minimum_distance(0, 1.5, *low, *high)).first()[0] == 1.0
 
 
+def test_boxes(spark):
+    a, b, far = boxes.box(0, 0, 2, 2), boxes.box(1, 1, 3, 2), boxes.box(5, 5, 6, 6)
+    got = spark.range(1).select(
+        boxes.area(a), boxes.enlargement(a, b), boxes.intersects(a, b), boxes.intersects(a, far), boxes.contains(boxes.merged(a, far), b), boxes.contains(a, b), boxes.meets_circle(far, 4, 5, 1), boxes.meets_circle(far, 4, 4, 1.4)
+    ).first()
+    assert tuple(got) == (4.0, 2.0, True, False, True, False, True, False)
+    points = spark.createDataFrame([(1.0, 5.0), (-2.0, 7.0)], "x double, y double").select(point(F.col("x"), F.col("y")).alias("p"))
+    assert tuple(boxes.bounds(points, "p").first()[0]) == (-2.0, 5.0, 1.0, 7.0) and boxes.bounds(points.limit(0), "p").first()[0] is None
+    assert boxes.contains(boxes.box_around(F.col("p")), boxes.box_around(F.col("p"))) is not None
+
+
 def test_order_is_stable_and_numeric_layouts_dont_matter(engine):
     fill(engine, "t", "a INT, b FLOAT, c VARCHAR(10)", ["(0, 0.0, '')", "(2, 1.5, 'é')", "(1, -3.25, 'z')", "(2, 9.0, 'a')", "(0, 0.0, '')"])
     assert [r[0] for r in last(engine, "SELECT a FROM t ORDER BY a")] == [0, 0, 1, 2, 2]
