@@ -1,13 +1,12 @@
-"""What the corpus operators share: shared scratch tables, bounded broadcasts and skew-safe look-ups."""
+"""What the corpus operators share: bounded broadcasts and skew-safe look-ups."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quadrille.scratch import materialise, scratch_dir  # noqa: F401
+
 #: A table of at most this many narrow rows may be broadcast; it is counted first, and beyond it rows are shuffled.
 BROADCAST_ROWS = 200_000
 #: A key that holds at least one row in HOT_SHARE is hot; there are at most HOT_SHARE such keys, whatever the input.
@@ -17,25 +16,6 @@ SPACE = r"[\x20\x09-\x0D]+"
 WORD = r"[^\x20\x09-\x0D]+"
 
 
-def scratch_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share.  Only a local master may fall back to a folder of this machine."""
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
-        path = tempfile.mkdtemp(prefix="quadrille-")
-        spark.conf.set("spark.checkpoint.dir", path)
-    return path.rstrip("/")
-
-
-def materialise(df: DataFrame, label: str) -> DataFrame:
-    """Write a table to the shared folder and read it again: lineage is cut, and a lost executor costs no recomputation."""
-    spark = df.sparkSession
-    path = f"{scratch_dir(spark)}/{label}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def whole(text: str | Column) -> Column:
     """The text, null as the empty string."""
     return F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit(""))
@@ -61,8 +41,7 @@ def look_up(left: DataFrame, key: str, table: DataFrame, weight: str, total: int
     hot = table.where(F.col(weight) >= bar).select(F.col(key), *[F.col(c).alias(f"__hot_{c}") for c in values])
     rest = table.where(F.col(weight) < bar).withColumnRenamed(key, "__rest_key")
     served = F.col(f"__hot_{weight}").isNotNull()
-    dealt = left.join(F.broadcast(hot), key, "left").withColumn(
-        "__rest_key", F.when(served, F.concat(F.lit("\0"), F.col(unique).cast("string")).cast(left.schema[key].dataType)).otherwise(F.col(key))
-    )
+    spread = F.xxhash64(unique).cast(left.schema[key].dataType)
+    dealt = left.join(F.broadcast(hot), key, "left").withColumn("__rest_key", F.when(served, spread).otherwise(F.col(key)))
     joined = dealt.join(rest, "__rest_key", "left")
-    return joined.select(*[F.col(c) for c in left.columns], *[F.coalesce(F.col(f"__hot_{c}"), F.col(c)).alias(c) for c in values])
+    return joined.select(*[F.col(f"`{c}`") for c in left.columns], *[F.when(served, F.col(f"__hot_{c}")).otherwise(F.col(c)).alias(c) for c in values])

@@ -5,37 +5,38 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quadrille.llm.common import materialise
+from quadrille.llm.common import look_up, materialise
 
 
 def connected(edges: DataFrame) -> DataFrame:
     """node, label for every node of ``edges`` (columns a, b, long); the label is the component's smallest node.
 
     Each round links every node to the smallest node near it (large star, then small star), which at least halves the
-    depth of the trees.  Every grouping has a partial aggregate and rounds are written to the shared folder, so neither
-    a large component nor a lost executor gathers work in one place.
+    depth of the trees.  Smallest neighbours are found by a grouping with a partial aggregate and looked up without
+    gathering a node's edges, and rounds are written to the shared folder, so neither a node with very many neighbours
+    nor a lost executor puts work in one place.
     """
     now = materialise(_both(edges).where("a > b").distinct(), "edges")
     n, before = now.count(), None
-    while True:
-        large = _star(_both(now), keep_larger=True)
-        small = materialise(_star(large, keep_larger=False), "edges")
+    while n:
+        large = materialise(_star(_both(now), 2 * n, keep_larger=True), "edges")
+        small = materialise(_star(large, large.count(), keep_larger=False), "edges")
         state = small.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if state == before or n == 0:
+        now, n, done, before = small, state[0], state == before, state
+        if done:
             break
-        now, before = small, state
-    heads = small.select(F.col("a").alias("node"), F.col("b").alias("label"))
-    return heads.unionByName(small.select(F.col("b").alias("node"), F.col("b").alias("label")).distinct())
+    heads = now.select(F.col("a").alias("node"), F.col("b").alias("label"))
+    return heads.unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("label")).distinct())
 
 
 def _both(edges: DataFrame) -> DataFrame:
     return edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
 
 
-def _star(edges: DataFrame, keep_larger: bool) -> DataFrame:
+def _star(edges: DataFrame, total: int, keep_larger: bool) -> DataFrame:
     """Each node's neighbours (larger ones, or the smaller ones and itself) are linked to its smallest neighbour or itself."""
-    least = edges.groupBy("a").agg(F.min("b").alias("m")).withColumn("m", F.least("a", "m"))
-    linked = edges.join(least, "a")
+    least = materialise(edges.groupBy("a").agg(F.min("b").alias("m"), F.count(F.lit(1)).alias("edges")).withColumn("m", F.least("a", "m")), "least")
+    linked = look_up(edges, "a", least, "edges", total, "b")
     if keep_larger:
         out = linked.where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
     else:

@@ -38,8 +38,8 @@ from quadrille.llm.components import connected
 WORDS, PERCENT = 5, 80
 #: Share of the hash range that comes first; so much over the prefix's share of a set that few sets need the rest.
 COUNTED = 0.28
-#: Sets in a block at most, about; a tile has two blocks.
-BLOCK = 1500
+#: Sets, and elements of all its sets, that a block has at most, about; a tile has two blocks.
+BLOCK, BLOCK_ELEMENTS = 1500, 3_000_000
 #: An element in at least one of HOT_SHARE counted rows is hot.
 HOT_SHARE = 2048
 
@@ -220,9 +220,8 @@ def _families(found: DataFrame) -> DataFrame:
     # Elements are unsigned numbers held as signed ones.
     above = (F.col("element") < 0) | (F.col("element") >= bound) if bound < 2**63 else (F.col("element") < 0) & (F.col("element") >= bound - 2**64)
     sets = sets.select("element", "node", "n", "below", above.alias("above"))
-    rows = sets.count()
-    often = sets.agg(F.expr(f"approx_top_k(element, {HOT_SHARE}, {HOT_SHARE * 16})").alias("top")).first()
-    hot = [x["item"] for x in (often["top"] or []) if x["count"] >= max(2, rows // HOT_SHARE)] if often else []
+    often = sets.agg(F.count(F.lit(1)).alias("rows"), F.expr(f"approx_top_k(element, {HOT_SHARE}, {HOT_SHARE * 16})").alias("top")).first()
+    hot = [x["item"] for x in often["top"] or [] if x["count"] >= max(2, often["rows"] // HOT_SHARE)]
     known = F.broadcast(sets.sparkSession.createDataFrame([(x,) for x in hot], "element long"))
     counted = sets.join(known, "element", "left_anti").repartition("element").mapInArrow(_count_elements, "element long, node long, n long, below long, above boolean, sets long")
     last = sets.join(known, "element").withColumn("sets", F.lit(2**62))
@@ -238,13 +237,13 @@ def _links(docs: DataFrame, found: DataFrame, families: DataFrame, id_col: str,
     families = materialise(families.join(reps, "node"), "families")
     # Sizes s and s * 100 / PERCENT are in one band or in neighbouring ones.
     banded = families.withColumn("band", F.floor(F.log(F.col("n").cast("double")) / math.log(100 / PERCENT) + 1e-9))
-    bands = banded.groupBy("family", "band").agg(F.count(F.lit(1)).alias("sets"))
-    bands = materialise(bands.withColumn("blocks", F.ceil(F.col("sets") / BLOCK).cast("int")), "bands")
-    whole_family = bands.groupBy("family").agg((F.sum("sets") <= BLOCK).alias("whole"))
+    bands = banded.groupBy("family", "band").agg(F.count(F.lit(1)).alias("sets"), F.sum("n").alias("elements"))
+    blocks = F.ceil(F.greatest(F.col("sets") / BLOCK, F.col("elements") / BLOCK_ELEMENTS)).cast("int")
+    bands = materialise(bands.withColumn("blocks", blocks), "bands")
+    whole_family = bands.groupBy("family").agg(((F.sum("sets") <= BLOCK) & (F.sum("elements") <= BLOCK_ELEMENTS)).alias("whole"))
     above = bands.select("family", (F.col("band") - 1).alias("band"), F.col("blocks").alias("above"))
     below = bands.select("family", (F.col("band") + 1).alias("band"), F.col("blocks").alias("below"))
     plan = bands.join(whole_family, "family").join(above, ["family", "band"], "left").join(below, ["family", "band"], "left").na.fill(0, ["above", "below"])
-    count = families.count()
     placed = banded.join(plan, ["family", "band"]).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks").cast("long")).cast("int"))
     # Tiles are named by family, the lower block and the higher block; a family of few sets is one tile.
     name = lambda b, x, c, y: F.concat_ws(":", b, x, c, y)
@@ -265,7 +264,8 @@ def _links(docs: DataFrame, found: DataFrame, families: DataFrame, id_col: str,
             yield pa.RecordBatch.from_arrays([batch.column("node"), batch.column("family"), batch.column("tiles"), pa.array([x.tobytes() for x in elements], pa.binary())], ["node", "family", "tiles", "elements"]).filter(good)
 
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    joined = texts.join(F.broadcast(tiles) if count <= BROADCAST_ROWS else tiles, "id").select("text", "node", "family", "tiles")
+    places = tiles.agg(F.sum(F.size("tiles"))).first()[0] or 0
+    joined = texts.join(F.broadcast(tiles) if places <= BROADCAST_ROWS else tiles, "id").select("text", "node", "family", "tiles")
     held = joined.mapInArrow(again, "node long, family long, tiles array<struct<tile:string,side:int>>, elements binary")
     rows = held.select("node", "family", "elements", F.explode("tiles").alias("t")).select("node", "family", "t.tile", "t.side", "elements")
     return rows.groupBy("family", "tile").applyInArrow(_tile, "a long, b long")

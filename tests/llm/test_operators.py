@@ -169,7 +169,9 @@ def test_near_bitmap_links_are_exact():
             assert head[a] == head[b] or 100 * both < 80 * (len(sets[a]) + len(sets[b]) - both)
 
 
-def test_components_of_a_graph(spark):
+@pytest.mark.parametrize("broadcast", [200_000, 0])
+def test_components_of_a_graph(spark, monkeypatch, broadcast):
+    monkeypatch.setattr(common, "BROADCAST_ROWS", broadcast)
     edges = [(k, k + 1) for k in range(30)] + [(100, 101), (101, 100), (7, 3)]
     got = dict(map(tuple, components.connected(spark.createDataFrame(edges, "a long, b long")).collect()))
     assert got == {k: 0 for k in range(31)} | {100: 100, 101: 100}
