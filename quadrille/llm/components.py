@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quadrille.llm.common import look_up, materialise
+from quadrille.llm.common import look_up, materialise, small
 
 
 def connected(edges: DataFrame) -> DataFrame:
@@ -17,13 +17,12 @@ def connected(edges: DataFrame) -> DataFrame:
     nor a lost executor puts work in one place.
     """
     now = materialise(_both(edges).where("a > b").distinct(), "edges")
-    n, before = now.count(), None
-    while n:
+    while n := now.count():
         large = materialise(_star(_both(now), 2 * n, keep_larger=True), "edges")
-        small = materialise(_star(large, large.count(), keep_larger=False), "edges")
-        state = small.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        now, n, done, before = small, state[0], state == before, state
-        if done:
+        now = materialise(_star(large, large.count(), keep_larger=False), "edges")
+        # Done when every node has one edge, to a node that has none: such stars are the components.
+        chained = now.join(small(now.select(F.col("a").alias("b")).distinct()), "b", "left_semi")
+        if chained.isEmpty() and now.groupBy("a").agg(F.count(F.lit(1)).alias("n")).where("n > 1").isEmpty():
             break
     heads = now.select(F.col("a").alias("node"), F.col("b").alias("label"))
     return heads.unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("label")).distinct())
