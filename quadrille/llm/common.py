@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -45,3 +48,10 @@ def look_up(left: DataFrame, key: str, table: DataFrame, weight: str, total: int
     dealt = left.join(F.broadcast(hot), key, "left").withColumn("__rest_key", F.when(served, spread).otherwise(F.col(key)))
     joined = dealt.join(rest, "__rest_key", "left")
     return joined.select(*[F.col(f"`{c}`") for c in left.columns], *[F.when(served, F.col(f"__hot_{c}")).otherwise(F.col(c)).alias(c) for c in values])
+
+
+def short_batches(batches: Iterator[pa.RecordBatch], rows: int = 1000) -> Iterator[pa.RecordBatch]:
+    """The same rows, so many at a time: what a worker makes of whole texts stays small."""
+    for batch in batches:
+        for k in range(0, batch.num_rows, rows):
+            yield batch.slice(k, rows)

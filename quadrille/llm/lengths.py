@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quadrille.llm.common import materialise
+from quadrille.llm.common import materialise, short_batches
 from quadrille.llm.tokens import encoder
 
 #: Lengths in a block.
@@ -33,7 +33,7 @@ def histogram(docs: DataFrame, tokenizer_path: str, by_chunk: bool = True, extra
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(shipped.value, by_chunk)
-        for batch in batches:
+        for batch in short_batches(batches):
             sizes = [len(encode(t or "")) // 4 + extra for t in batch.column(text_col).to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array(sizes, pa.int64())], ["length"])
 

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quadrille.llm.common import materialise
+from quadrille.llm.common import materialise, short_batches
 
 MIN_DOCS = 10
 #: Aimed at number of (document, key) pairs in a shard, and the least number of shards.
@@ -147,7 +147,7 @@ def reference_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
             held.clear()
             return out
 
-        for batch in batches:
+        for batch in short_batches(batches):
             for text in _texts(batch, text_col):
                 held.update({line_key(x) for x in text.split(b"\n")} - {b""})
                 if len(held) >= HELD_COUNTS:
@@ -203,7 +203,7 @@ def repeated_keys(docs: DataFrame, refs: DataFrame, filters: DataFrame, shards:
     """id, keys: for each document the keys that it has to drop, but for the hot ones."""
 
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in short_batches(batches):
             found = [list({line_key(x) for x in text.split(b"\n")} - {b""} - hot) for text in _texts(batch, text_col)]
             ids = np.repeat(np.arange(len(found)), [len(x) for x in found])
             yield pa.RecordBatch.from_arrays([batch.column(id_col).take(pa.array(ids)), pa.array([k for x in found for k in x], pa.binary())], ["id", "key"])
@@ -241,7 +241,7 @@ def clean(docs: DataFrame, min_docs: int = MIN_DOCS, id_col: str = "doc_id", tex
     joined = docs.join(drops, F.col(f"`{id_col}`").eqNullSafe(F.col("id")), "left").drop("id")
 
     def drop(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in short_batches(batches):
             kept, n_lines, n_dropped = [], [], []
             for text, keys in zip(_texts(batch, text_col), batch.column("keys").to_pylist(), strict=True):
                 gone = hot.union(keys) if keys else hot

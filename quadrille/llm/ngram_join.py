@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quadrille.llm.common import BROADCAST_ROWS, look_up, materialise, small
+from quadrille.llm.common import BROADCAST_ROWS, look_up, materialise, short_batches, small
 from quadrille.llm.components import connected
 
 WORDS, PERCENT = 5, 80
@@ -102,7 +102,7 @@ def _sets(docs: DataFrame, id_col: str, text_col: str, seed: int) -> DataFrame:
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sent: set[bytes] = set()
-        for batch in batches:
+        for batch in short_batches(batches):
             sizes, digests, nodes, below, elements = [], [], [], [], []
             for text in batch.column(text_col).cast(pa.binary()).to_pylist():
                 have = shingle_hashes(text or b"", seed)
@@ -118,7 +118,7 @@ def _sets(docs: DataFrame, id_col: str, text_col: str, seed: int) -> DataFrame:
                 if len(sent) >= 500_000:
                     sent.clear()
                 sent.add(digest)
-                elements.append((have[:low] if low >= prefix_length(len(have)) else have).view(np.int64))
+                elements.append((have[:low].copy() if low >= prefix_length(len(have)) else have).view(np.int64))
             yield pa.RecordBatch.from_arrays(
                 [batch.column(id_col), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), pa.array(nodes, pa.int64()), pa.array(below, pa.int64()), pa.array(elements, pa.list_(pa.int64()))],
                 ["id", "n", "digest", "node", "below", "elements"],
@@ -257,7 +257,7 @@ def _links(docs: DataFrame, found: DataFrame, families: DataFrame, id_col: str,
     tiles = materialise(placed.select("id", "node", "family", F.when(F.col("whole"), alone).otherwise(F.concat(own, up, down)).alias("tiles")), "tiles")
 
     def again(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in short_batches(batches):
             elements = [shingle_hashes(t or b"", seed) for t in batch.column("text").cast(pa.binary()).to_pylist()]
             own = np.array([int.from_bytes(blake2b(x.tobytes(), digest_size=8 * 2).digest()[:8], "little", signed=True) for x in elements], np.int64)
             good = pa.array(own == batch.column("node").to_numpy())  # of rows that share a doc_id, the one with this set

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quadrille.llm.common import materialise
+from quadrille.llm.common import materialise, short_batches
 from quadrille.llm.tokens import encoder
 
 CAPACITY, STEP, END_ID = 4096, 16, 2
@@ -39,7 +39,7 @@ def pieces(docs: DataFrame, tokenizer_json: str, capacity: int = CAPACITY, end_i
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(shipped.value, by_chunk)
-        for batch in batches:
+        for batch in short_batches(batches):
             at, start, length, crc, tokens, ids = [], [], [], [], [], []
             for k, text in enumerate(batch.column(text_col).to_pylist()):
                 whole = encode(text or "") + end
