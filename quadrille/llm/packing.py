@@ -99,7 +99,8 @@ def cutting_stock(demand: dict[int, int], room: int, gap: float = 5e-4) -> list[
             value, pattern = _best_pattern(sizes, np.maximum(prices, 0), room)
             if value <= 1 + gap:
                 break
-            entering = inverse @ pattern
+            used = np.flatnonzero(pattern)
+            entering = (inverse[:, used] * pattern[used]).sum(1)  # a few columns: no work for many threads
             grows = entering > 1e-10
             ratio = np.full(m, np.inf)
             ratio[grows] = amount[grows] / entering[grows]
@@ -115,7 +116,7 @@ def cutting_stock(demand: dict[int, int], room: int, gap: float = 5e-4) -> list[
             inverse -= np.outer(others, inverse[row])
             if turn % 200 == 0:  # keep rounding errors small
                 inverse = np.linalg.inv(basis)
-                amount = np.maximum(inverse @ need, 0)
+                amount = np.maximum((inverse * need).sum(1), 0)
         for column, copies in zip(basis.T.astype(np.int64), np.floor(amount + 1e-9).astype(np.int64), strict=True):
             copies = int(min([copies, *(left[column > 0] // column[column > 0])]))
             if copies > 0:
