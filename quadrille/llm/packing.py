@@ -83,7 +83,7 @@ def _best_pattern(sizes: np.ndarray, prices: np.ndarray, room: int) -> tuple[flo
 def cutting_stock(demand: dict[int, int], room: int, gap: float = 5e-4) -> list[tuple[dict[int, int], int]]:
     """Patterns with their number of copies, which together hold ``demand`` (size: number) exactly.
 
-    The linear program is solved to within ``gap`` of its optimum; rounding leaves at most one sequence for each size,
+    The linear program is solved to within ``gap`` of its optimum, or until it no longer improves; rounding leaves at most one sequence for each size,
     and the pieces in them are packed best-fit, longest first.
     """
     sizes = np.array(sorted(demand), np.int64)
@@ -94,7 +94,13 @@ def cutting_stock(demand: dict[int, int], room: int, gap: float = 5e-4) -> list[
     if m:
         basis = np.diag(room // sizes).astype(float)
         inverse, amount = np.diag(1 / np.diag(basis)), need / np.diag(basis)
+        best, since = np.inf, 0
         for turn in range(1, 100 * m + 1000):
+            # Ties can make the simplex go round without gain; any basis is a packing, so it ends there.
+            since = 0 if amount.sum() < best * (1 - 1e-6) else since + 1
+            best = min(best, amount.sum())
+            if since > 100:
+                break
             prices = inverse.sum(0)
             value, pattern = _best_pattern(sizes, np.maximum(prices, 0), room)
             if value <= 1 + gap:
