@@ -80,6 +80,20 @@ def _best_pattern(sizes: np.ndarray, prices: np.ndarray, room: int) -> tuple[flo
     return float(value[room]), pattern
 
 
+def _inverted(matrix: np.ndarray) -> np.ndarray:
+    """Gauss-Jordan elimination, without the threads of a linear algebra library, which can stall a busy driver."""
+    n = len(matrix)
+    work = np.hstack([matrix, np.eye(n)])
+    for k in range(n):
+        pivot = k + int(np.abs(work[k:, k]).argmax())
+        work[[k, pivot]] = work[[pivot, k]]
+        work[k] /= work[k, k]
+        others = work[:, k].copy()
+        others[k] = 0
+        work -= np.multiply.outer(others, work[k])
+    return work[:, n:]
+
+
 def cutting_stock(demand: dict[int, int], room: int, gap: float = 5e-4) -> list[tuple[dict[int, int], int]]:
     """Patterns with their number of copies, which together hold ``demand`` (size: number) exactly.
 
@@ -121,7 +135,7 @@ def cutting_stock(demand: dict[int, int], room: int, gap: float = 5e-4) -> list[
             others[row] = 0
             inverse -= np.outer(others, inverse[row])
             if turn % 200 == 0:  # keep rounding errors small
-                inverse = np.linalg.inv(basis)
+                inverse = _inverted(basis)
                 amount = np.maximum((inverse * need).sum(1), 0)
         for column, copies in zip(basis.T.astype(np.int64), np.floor(amount + 1e-9).astype(np.int64), strict=True):
             copies = int(min([copies, *(left[column > 0] // column[column > 0])]))
