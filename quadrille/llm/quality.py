@@ -21,6 +21,8 @@ from quadrille.llm.common import SPACE, WORD, materialise, whole
 
 #: Two hashes of a three-word window, 96 bits together, stand for it inside one document.
 LEAST_WORDS, MOST_REPEATED = 50, 50
+#: The most good documents of which a rule may be estimated to misfire.
+MOST_ALARM = 0.01
 
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_capitals", "n_shouts", "n_closed")
 BASE = COUNTS[:5]
@@ -94,7 +96,9 @@ def fit(patterns: dict[int, int], n_rules: int, good: float = 0.8, caught: float
     Returns the log-odds of being good before any vote, and for each rule the log-odds that each of its votes adds.  An
     abstention adds nothing.  Before any data, a share ``good`` of documents is good, and a rule that doesn't abstain
     votes bad on a share ``caught`` of the bad and ``alarm`` of the good ones; this belief counts as ``strength`` times
-    as many documents as there are, at every size of the corpus, and keeps the classes from changing places.
+    as many documents as there are, at every size of the corpus, and keeps the classes from changing places.  The share
+    of good documents that a rule is estimated to call bad stays within MOST_ALARM, so a kind of junk that only one rule
+    sees isn't taken for good because it is common.
     """
     n = max(1, sum(patterns.values()))
     votes = {p: [p // 3**k % 3 for k in range(n_rules)] for p in patterns}
@@ -110,7 +114,8 @@ def fit(patterns: dict[int, int], n_rules: int, good: float = 0.8, caught: float
             for kind, belief, before in ((0, caught, 1 - good), (1, alarm, good)):
                 voted = {p: patterns[p] * (post[p] if kind else 1 - post[p]) for p in patterns if votes[p][k] != 1}
                 bad = sum(m for p, m in voted.items() if votes[p][k] == 0)
-                rates.append((bad + held * before * belief) / (sum(voted.values()) + held * before))
+                rate = (bad + held * before * belief) / (sum(voted.values()) + held * before)
+                rates.append(min(rate, MOST_ALARM) if kind else rate)
             new.append(tuple(rates))
         moved = max(abs(x - y) for t, u in zip([(prior,), *tables], [(new_prior,), *new], strict=True) for x, y in zip(t, u, strict=True))
         prior, tables = new_prior, new

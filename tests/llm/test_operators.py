@@ -127,6 +127,28 @@ def test_quality_against_labels(spark):
     assert {r.quality: r.kept for r in right}[1] > 0.95 and {r.quality: r.kept for r in right}[0] < 0.1
 
 
+def clean_text(r):
+    return "\n".join(f"The {prose(r, 12)} of {prose(r, 8)} ended here." for _ in range(6))
+
+
+def test_quality_of_junk_that_is_common(spark):
+    """A third of all rows is junk that one rule alone sees."""
+    r = random.Random(7)
+    docs = [(k, clean_text(r) if k % 3 else clean_text(r).replace(" of ", " # $ % & ")) for k in range(300)]
+    got = {x.doc_id: x.kept for x in quality.assess(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert got == {k: k % 3 > 0 for k, _ in docs}
+
+
+@pytest.mark.parametrize("share", [0.01, 0.2, 1 / 3, 0.6, 0.9])
+@pytest.mark.parametrize("rule", range(7))
+def test_quality_rule_keeps_its_weight(rule, share):
+    good = sum(2 * 3**k for k in range(7))
+    bad = good - 2 * 3**rule
+    start, weights = quality.fit({good: round(9000 * (1 - share)), bad: round(9000 * share)}, 7)
+    odds = {p: start + sum(w[p // 3**k % 3] for k, w in enumerate(weights)) for p in (good, bad)}
+    assert odds[good] > 0 > odds[bad]
+
+
 def test_near(odd, pairs):
     assert sorted(map(tuple, ngram_join.components(odd).collect())) == brute.near(pairs)
 
