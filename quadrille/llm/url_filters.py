@@ -2,8 +2,8 @@
 
 Digits and long hexadecimal runs of a path are generalised, which leaves few templates for each host.  The templates
 of a host form a tree.  From the root down, the branches of a node whose labelled share of bad pages doesn't differ
-significantly from the node's are merged into a wildcard, as are rare branches of a node with very many.  A template is
-rejected if its share of bad labelled pages, smoothed towards its host's and the corpus's, is high enough.  Explicit
+significantly from the node's are merged into a wildcard, as are rare branches of a node with very many if they have too
+few labels to tell.  A template is rejected if its share of bad labelled pages, smoothed towards its host's and the corpus's, is high enough.  Explicit
 rules come before the tree.
 
 Everything after the first grouping works on templates, not pages, so a host with a third of all pages has no more rows
@@ -28,7 +28,7 @@ Rules = list[tuple[str, str]]
 DEPTH = 4
 #: Branches differ significantly beyond so many standard errors.
 ERRORS = 2.0
-#: A node with at least MANY branches merges those with less than RARE of its pages.
+#: A node with at least MANY branches merges those with less than RARE of its pages and fewer than LEAST_LABELS labels.
 MANY, RARE = 50, 0.01
 #: Labelled pages that the smoothing counts for; least number and bad share of a rejected template.
 SMOOTH, LEAST_LABELS, LEAST_BAD = 4.0, 5, 0.6
@@ -80,7 +80,7 @@ def templates(pages: DataFrame, labelled: DataFrame, url_col: str = "url") -> Da
         share = F.sum("own_bad").over(node) / F.greatest(F.sum("own_labelled").over(node), F.lit(1))
         error = F.sqrt(share * (1 - share) / F.greatest(F.col("own_labelled"), F.lit(1)))
         alike = F.abs(F.col("own_bad") - share * F.col("own_labelled")) <= ERRORS * error * F.col("own_labelled")
-        rare = (F.count(F.lit(1)).over(node) >= MANY) & (F.col("own_n") < RARE * F.sum("own_n").over(node))
+        rare = (F.count(F.lit(1)).over(node) >= MANY) & (F.col("own_n") < RARE * F.sum("own_n").over(node)) & (F.col("own_labelled") < LEAST_LABELS)
         verdicts = branches.withColumn("wild", (F.count(F.lit(1)).over(node) > 1) & (F.col("branch") != "") & (alike | rare)).select("host", "merged", "branch", "wild")
         tree = tree.join(verdicts, ["host", "merged", "branch"])
         step = F.when(F.col("branch") == "", "").otherwise(F.concat(F.lit("/"), F.when(F.col("wild"), "*").otherwise(F.col("branch"))))

@@ -324,6 +324,24 @@ def test_url_tree(spark):
     assert ("b.tld", "/*/{n}") in merged and ("a.tld", "/*/{n}.html") not in merged
 
 
+def url_verdicts(spark, rows):
+    """Of (url, bad): the pages whose verdict isn't that of their label, all pages labelled."""
+    pages = spark.createDataFrame([(k, u) for k, (u, _) in enumerate(rows)], "page_id long, url string")
+    labelled = spark.createDataFrame([(u, int(b)) for u, b in rows], "url string, bad int")
+    verdicts = {r.page_id: r.verdict for r in url_filters.judge(pages, [], labelled).collect()}
+    return [u for k, (u, b) in enumerate(rows) if verdicts[k] != ("block" if b else "allow")]
+
+
+def word(k):
+    return "".join(chr(97 + int(c)) for c in str(k))
+
+
+def test_url_tree_with_many_sections(spark):
+    """One section in 120 differs from the others of its host, each way."""
+    rows = [(f"http://{h}.tld/{word(part)}/{k}", (part == 7) == odd) for h, odd in (("a", True), ("b", False)) for part in range(120) for k in range(12)]
+    assert url_verdicts(spark, rows) == []
+
+
 def test_private(odd, pairs):
     for r in pii.report(odd).collect():
         want = brute.private_base(pairs[r.doc_id][1])
