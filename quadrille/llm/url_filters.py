@@ -3,7 +3,8 @@
 Digits and long hexadecimal runs of a path are generalised, which leaves few templates for each host.  The templates
 of a host form a tree.  From the root down, the branches of a node whose labelled share of bad pages doesn't differ
 significantly from the node's are merged into a wildcard, as are rare branches of a node with very many if they have too
-few labels to tell.  A template is rejected if its share of bad labelled pages, smoothed towards its host's and the corpus's, is high enough.  Explicit
+few labels to tell, down to the end of the longest path; a path alone in its node keeps the rest as it is.  A template is
+rejected if its share of bad labelled pages, smoothed towards its host's and the corpus's, is high enough.  Explicit
 rules come before the tree.
 
 Everything after the first grouping works on templates, not pages, so a host with a third of all pages has no more rows
@@ -16,6 +17,8 @@ empty result.  Other columns of the input are ignored.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -24,8 +27,6 @@ from quadrille.llm.licenses import LOWER, UPPER
 
 #: Rules as (verdict, host and path).
 Rules = list[tuple[str, str]]
-#: Levels of the tree; what lies deeper is one segment.
-DEPTH = 4
 #: Branches differ significantly beyond so many standard errors.
 ERRORS = 2.0
 #: A node with at least MANY branches merges those with less than RARE of its pages and fewer than LEAST_LABELS labels.
@@ -43,9 +44,9 @@ def path_of(url: Column) -> Column:
 
 
 def template_of(path: Column) -> Column:
-    """The path with numbers and long hexadecimal runs replaced, cut into at most DEPTH segments."""
+    """The path with numbers and long hexadecimal runs replaced, cut into its segments."""
     general = F.regexp_replace(F.regexp_replace(path, r"\b(?=[0-9a-fA-F-]*[0-9])[0-9a-fA-F-]{12,}\b", "{x}"), "[0-9]+", "{n}")
-    return F.split(F.regexp_replace(general, "^/+", ""), "/", DEPTH)
+    return F.split(F.regexp_replace(general, "^/+", ""), "/", -1)
 
 
 def rule_for(host: Column, path: Column, rules: Rules) -> Column:
@@ -73,18 +74,26 @@ def templates(pages: DataFrame, labelled: DataFrame, url_col: str = "url") -> Da
     known = _counts(labelled.where("bad IS NOT NULL"), "url", zero, F.lit(1), F.col("bad").cast("long"))
     tree = there.unionByName(known).groupBy("host", "parts").agg(*[F.sum(c).alias(c) for c in ("n", "labelled", "bad")])
     tree = materialise(tree, "templates").withColumn("merged", F.lit(""))
-    for level in range(DEPTH):
+    done, level, deeper = [], 0, True
+    while deeper:
         tree = tree.withColumn("branch", F.coalesce(F.get("parts", F.lit(level)), F.lit("")))
-        branches = tree.groupBy("host", "merged", "branch").agg(*[F.sum(c).alias(f"own_{c}") for c in ("n", "labelled", "bad")])
+        branches = tree.groupBy("host", "merged", "branch").agg(F.count(F.lit(1)).alias("paths"), *[F.sum(c).alias(f"own_{c}") for c in ("n", "labelled", "bad")])
         node = Window.partitionBy("host", "merged")
         share = F.sum("own_bad").over(node) / F.greatest(F.sum("own_labelled").over(node), F.lit(1))
         error = F.sqrt(share * (1 - share) / F.greatest(F.col("own_labelled"), F.lit(1)))
         alike = F.abs(F.col("own_bad") - share * F.col("own_labelled")) <= ERRORS * error * F.col("own_labelled")
         rare = (F.count(F.lit(1)).over(node) >= MANY) & (F.col("own_n") < RARE * F.sum("own_n").over(node)) & (F.col("own_labelled") < LEAST_LABELS)
-        verdicts = branches.withColumn("wild", (F.count(F.lit(1)).over(node) > 1) & (F.col("branch") != "") & (alike | rare)).select("host", "merged", "branch", "wild")
-        tree = tree.join(verdicts, ["host", "merged", "branch"])
+        wild = (F.count(F.lit(1)).over(node) > 1) & (F.col("branch") != "") & (alike | rare)
+        alone = F.sum("paths").over(node) == 1
+        tree = tree.join(branches.select("host", "merged", "branch", wild.alias("wild"), alone.alias("alone")), ["host", "merged", "branch"])
         step = F.when(F.col("branch") == "", "").otherwise(F.concat(F.lit("/"), F.when(F.col("wild"), "*").otherwise(F.col("branch"))))
-        tree = materialise(tree.withColumn("merged", F.concat("merged", step)).drop("branch", "wild"), "templates")
+        ends = F.concat_ws("", F.transform(F.filter(F.slice("parts", F.lit(level + 1), F.greatest(F.size("parts") - level, F.lit(0))), lambda x: x != ""), lambda x: F.concat(F.lit("/"), x)))
+        tree = tree.withColumn("merged", F.concat("merged", F.when(F.col("alone"), ends).otherwise(step)))
+        tree = materialise(tree.withColumn("more", F.when(F.col("alone"), -1).otherwise(F.size("parts") - level - 1)).drop("branch", "wild", "alone"), "templates")
+        deeper = not tree.where("more > 0").isEmpty()
+        done.append(tree.where("more < 0") if deeper else tree)
+        tree, level = tree.where("more >= 0"), level + 1
+    tree = materialise(reduce(DataFrame.unionByName, done).drop("more"), "templates")
     start = tree.agg(F.sum("bad"), F.sum("labelled")).first()
     everywhere = (start[0] or 0) / max(1, start[1] or 0)
     hosts = tree.groupBy("host").agg(((F.sum("bad") + SMOOTH * everywhere) / (F.sum("labelled") + SMOOTH)).alias("at_host"))

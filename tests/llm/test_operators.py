@@ -342,6 +342,13 @@ def test_url_tree_with_many_sections(spark):
     assert url_verdicts(spark, rows) == []
 
 
+def test_url_tree_with_deep_paths(spark):
+    """A bad section below the third segment, pages named by words, and a very long path."""
+    rows = [(f"http://a.tld/2024/05/{12 + d}/{part}/{word(k)}", part == "pills") for d in range(3) for part in ("news", "pills", "blog") for k in range(30)]
+    rows += [("http://a.tld/" + "x/" * 500, False), ("http://a.tld/2024/05/12", False), ("http://a.tld", False)]
+    assert url_verdicts(spark, rows) == []
+
+
 def test_private(odd, pairs):
     for r in pii.report(odd).collect():
         want = brute.private_base(pairs[r.doc_id][1])
