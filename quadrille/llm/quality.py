@@ -13,6 +13,7 @@ result column are replaced.
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -64,7 +65,7 @@ def counted(docs: DataFrame, text_col: str = "text") -> DataFrame:
             "n_lines": F.size("__lines").cast("long"),
             "n_capitals": F.regexp_count(text, F.lit("[A-Z]")).cast("long"),
             "n_shouts": F.regexp_count(text, F.lit("!")).cast("long"),
-            "n_closed": F.size(F.filter("__lines", lambda x: x.rlike(r"[.!?:;\"”»)][\x20\x09-\x0D]*$"))).cast("long"),
+            "n_closed": F.size(F.filter("__lines", lambda x: x.rlike(r"[.!?:;\"”»)।॥。！？…؟۔][\x20\x09-\x0D]*$"))).cast("long"),
         }
     ).drop("__words", "__lines", "__windows")
 
@@ -74,20 +75,24 @@ def _vote(bad: Column, good: Column) -> Column:
 
 
 def rules() -> dict[str, Column]:
-    """0 for bad, 1 to abstain, 2 for good."""
+    """0 for bad, 1 to abstain, 2 for good.
+
+    Lists, verse and tables have open lines too, so these are held against a text only if another rule votes bad.
+    """
     c = F.col
     per_word = lambda n: c(n) / F.greatest(c("n_words"), F.lit(1))
     per_line = lambda n: c(n) / F.greatest(c("n_lines"), F.lit(1))
     per_char = lambda n: c(n) / F.greatest(c("word_chars"), F.lit(1))
-    return {
+    alone = {
         "word length": _vote((per_word("word_chars") < 2.5) | (per_word("word_chars") > 14), per_word("word_chars").between(3, 10)),
         "symbols": _vote(per_word("n_symbols") > 0.1, per_word("n_symbols") < 0.02),
         "repeated lines": _vote((c("n_lines") >= 5) & (per_line("n_dup_lines") > 0.4), per_line("n_dup_lines") <= 0.1),
         "repeated words": _vote(per_word("n_repeat_words") > 0.3, per_word("n_repeat_words") < 0.2),
         "capitals": _vote(per_char("n_capitals") > 0.3, per_char("n_capitals") < 0.15),
         "shouting": _vote(per_word("n_shouts") > 0.1, per_word("n_shouts") < 0.02),
-        "closed lines": _vote((c("n_lines") >= 3) & (per_line("n_closed") < 0.2), per_line("n_closed") > 0.6),
     }
+    bad = reduce(Column.__or__, [vote == 0 for vote in alone.values()])
+    return alone | {"closed lines": _vote(bad & (c("n_lines") >= 3) & (per_line("n_closed") < 0.2), per_line("n_closed") > 0.6)}
 
 
 def fit(patterns: dict[int, int], n_rules: int, good: float = 0.8, caught: float = 0.15, alarm: float = 0.001, strength: float = 4.0, rounds: int = 200) -> tuple[float, list[tuple[float, float, float]]]:

@@ -139,6 +139,16 @@ def test_quality_of_junk_that_is_common(spark):
     assert got == {k: k % 3 > 0 for k, _ in docs}
 
 
+def test_quality_of_open_lines(spark):
+    """Clean lists, verse and Hindi stay beside prose; symbol junk with open lines goes."""
+    r = random.Random(8)
+    lines = lambda n, end="": "\n".join(prose(r, n) + end for _ in range(12))
+    makers = [lambda: clean_text(r), lambda: lines(6), lambda: lines(9, ","), lambda: lines(12, " \u0964"), lambda: lines(12, " # $ % &")]
+    kinds = [0] * 40 + [1, 2, 3, 4] * 2
+    docs = spark.createDataFrame([(k, makers[m]()) for k, m in enumerate(kinds)], "doc_id long, text string")
+    assert {x.doc_id: x.kept for x in quality.assess(docs).collect()} == {k: m < 4 for k, m in enumerate(kinds)}
+
+
 @pytest.mark.parametrize("share", [0.01, 0.2, 1 / 3, 0.6, 0.9])
 @pytest.mark.parametrize("rule", range(7))
 def test_quality_rule_keeps_its_weight(rule, share):
