@@ -7,10 +7,14 @@
    alone come first and lead nowhere, so a set with ``p`` of them has no partner, and passages that many texts share
    come last.  To count, each set sends the elements below a fixed hash bound, which come before the others in the
    order, or all its elements if fewer than ``p`` lie below.
-3. Sets that share such an element, directly or through others, form a family.  In a family the sets are banded by size,
-   so that partners lie in one band or in neighbouring ones, bands are cut into blocks, and pairs of blocks make tiles of
-   bounded size.  Within a tile, a hashed bitmap of each set gives an upper bound of the overlap by counting bits, and
-   pairs that pass are intersected exactly, as sorted arrays.  Sets already linked in the tile are not compared again.
+3. In each task, and then over the tasks, the sets that hold a prefix element are tied to the least of them, so that
+   an element in very many sets puts few rows in one place.  Each set is first compared with the least set it is tied
+   to, in tiles of one such hub and a bounded number of others.  This links copies to each other by way of their hubs.
+4. What ties still lead from one linked group to another make families of groups.  In a family the sets are banded by
+   size, so that partners lie in one band or in neighbouring ones, bands are cut into blocks, and pairs of blocks make
+   tiles of bounded size; the family's largest group isn't paired with itself.  Within a tile, a hashed bitmap of each
+   set gives an upper bound of the overlap by counting bits, and pairs that pass are intersected exactly, as sorted
+   arrays.  Sets already linked are not compared again.
 
 Nothing is sampled or capped: elements so frequent that their rows would make one task large (at most HOT_SHARE of
 them) are known to all tasks and skip the counting, being last in the order anyway.
@@ -137,17 +141,41 @@ def _count_elements(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
     element, node = table["element"].to_numpy(), table["node"].to_numpy()
     order = np.lexsort((node, element))
     element, node = element[order], node[order]
-    once = np.concatenate([[True], (element[1:] != element[:-1]) | (node[1:] != node[:-1])])  # a node comes from several tasks
+    once = _changes(element) | _changes(node)  # a node comes from several tasks
     order, element = order[once], element[once]
-    starts = np.flatnonzero(np.concatenate([[True], element[1:] != element[:-1]]))
+    starts = np.flatnonzero(_changes(element))
     sets = np.diff(np.concatenate([starts, [len(element)]]))
     sets = np.repeat(sets, sets)
     out = table.take(pa.array(order[sets > 1])).append_column("sets", pa.array(sets[sets > 1], pa.int64()))
     yield from out.combine_chunks().to_batches(max_chunksize=20_000)
 
 
+def _changes(values: np.ndarray) -> np.ndarray:
+    """Where a value differs from the one before it."""
+    out = np.ones(len(values), bool)
+    out[1:] = values[1:] != values[:-1]
+    return out
+
+
+def _ties(element: np.ndarray, node: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct (node, least node with the same element), and each element with its least node."""
+    order = np.lexsort((node, element))
+    element, node = element[order], node[order]
+    starts = np.flatnonzero(_changes(element))
+    hub = np.repeat(node[starts], np.diff(np.concatenate([starts, [len(element)]])))
+    order = np.lexsort((hub, node))
+    order = order[node[order] != hub[order]]
+    member, least = node[order], hub[order]
+    once = _changes(member) | _changes(least)
+    return member[once], least[once], element[starts], node[starts]
+
+
 def _cut_prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of the rows of whole nodes, those whose element is in the node's prefix."""
+    """Of whole nodes, those rows whose element is in the node's prefix, as ties within the task.
+
+    Rows are (node, hub) for a node and the least one that shares an element with it, and (element, node) for the least
+    node of each element.
+    """
     held = [b for b in batches if b.num_rows]
     if not held:
         return
@@ -156,21 +184,36 @@ def _cut_prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
     n, below, sets = table["n"].to_numpy(), table["below"].to_numpy(), table["sets"].to_numpy()
     order = np.lexsort((element, sets, above, node))
     node, element, above, n, below = node[order], element[order], above[order], n[order], below[order]
-    once = np.concatenate([[True], (node[1:] != node[:-1]) | (element[1:] != element[:-1])])  # hot elements come from several tasks
+    once = _changes(node) | _changes(element)  # hot elements come from several tasks
     node, element, above, n, below = node[once], element[once], above[once], n[once], below[once]
     # Places in the order: elements of this set only come first among those below the bound, and among those above it.
-    new = np.concatenate([[True], (node[1:] != node[:-1]) | (above[1:] != above[:-1])])
+    new = _changes(node) | _changes(above)
     starts = np.flatnonzero(new)
     group = np.cumsum(new) - 1
     shared = np.diff(np.concatenate([starts, [len(node)]]))[group]
     place = np.where(above, n, below) - shared + np.arange(len(node)) - starts[group]
     stay = place < prefix_length(n)
-    if stay.any():
-        yield pa.RecordBatch.from_arrays([pa.array(element[stay]), pa.array(node[stay])], ["element", "node"])
+    members, hubs, elements, least = _ties(element[stay], node[stay])
+    none = lambda k: pa.nulls(k, pa.int64())
+    if len(elements):
+        yield pa.RecordBatch.from_arrays([none(len(members)), pa.array(members), pa.array(hubs)], ["element", "node", "hub"])
+        yield pa.RecordBatch.from_arrays([pa.array(elements), pa.array(least), none(len(least))], ["element", "node", "hub"])
+
+
+def _tie_tasks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (element, node), all those of an element in one partition, as ties (node, hub)."""
+    held = [b for b in batches if b.num_rows]
+    if held:
+        table = pa.Table.from_batches(held)
+        members, hubs, _, _ = _ties(table["element"].to_numpy(), table["node"].to_numpy())
+        yield pa.RecordBatch.from_arrays([pa.array(members), pa.array(hubs)], ["node", "hub"])
 
 
-def _link(ids: np.ndarray, sets: list[np.ndarray], side: np.ndarray | None, percent: int) -> list[tuple[int, int]]:
-    """Links that span the components of a tile.  side: 0 or 1; pairs are compared across sides only, if given."""
+def _link(sets: list[np.ndarray], part: np.ndarray, side: np.ndarray | None, percent: int) -> list[tuple[int, int]]:
+    """Pairs of places whose sets are linked, enough to join all parts that any pair links.
+
+    part: sets with the same number are linked already.  side: 0 or 1; pairs are compared across sides only, if given.
+    """
     n = np.array([len(s) for s in sets])
     order = np.argsort(n, kind="stable")
     n = n[order]
@@ -180,7 +223,7 @@ def _link(ids: np.ndarray, sets: list[np.ndarray], side: np.ndarray | None, perc
     for k, at in enumerate(order):
         low = sets[at] % np.uint64(bits)
         np.bitwise_or.at(maps[k], (low >> np.uint64(6)).astype(np.int64), np.uint64(1) << (low & np.uint64(63)))
-    part = np.arange(len(order))
+    part = part[order].copy()
     across = None if side is None else side[order]
     links = []
     for k in range(1, len(order)):
@@ -201,74 +244,129 @@ def _link(ids: np.ndarray, sets: list[np.ndarray], side: np.ndarray | None, perc
                 continue
             both = len(np.intersect1d(sets[order[k]], sets[order[other]], assume_unique=True))
             if both >= least and 100 * both >= percent * (n[k] + n[other] - both):
-                links.append((int(ids[order[k]]), int(ids[order[other]])))
+                links.append((int(order[k]), int(order[other])))
                 part[part == part[k]] = part[other]
     return links
 
 
 def _tile(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-    ids, sides = table["node"].to_numpy(), table["side"].to_numpy()
+    """Links between the groups of a tile; the sides of a tile between two blocks differ, those inside a block are null."""
+    group, side = table["group"].to_numpy(), table["side"]
     sets = [np.frombuffer(x, np.uint64) for x in table["elements"].to_pylist()]
-    links = _link(ids, sets, None if (sides == sides[0]).all() else sides, PERCENT) if len(ids) > 1 else []
-    return pa.table({"a": pa.array([x for x, _ in links], pa.int64()), "b": pa.array([x for _, x in links], pa.int64())})
+    links = _link(sets, np.unique(group, return_inverse=True)[1], None if side.null_count else side.to_numpy(), PERCENT) if len(sets) > 1 else []
+    return pa.table({"a": pa.array([group[x] for x, _ in links], pa.int64()), "b": pa.array([group[y] for _, y in links], pa.int64())})
 
 
-def _families(found: DataFrame) -> DataFrame:
-    """node, family of all nodes that share a prefix element with another."""
-    sets = found.select(F.explode("elements").alias("element"), "node", "n", "below")
-    bound = int(COUNTED * 2**64)
-    # Elements are unsigned numbers held as signed ones.
-    above = (F.col("element") < 0) | (F.col("element") >= bound) if bound < 2**63 else (F.col("element") < 0) & (F.col("element") >= bound - 2**64)
-    sets = sets.select("element", "node", "n", "below", above.alias("above"))
-    often = sets.agg(F.count(F.lit(1)).alias("rows"), F.expr(f"approx_top_k(element, {HOT_SHARE}, {HOT_SHARE * 16})").alias("top")).first()
-    hot = [x["item"] for x in often["top"] or [] if x["count"] >= max(2, often["rows"] // HOT_SHARE)]
-    known = F.broadcast(sets.sparkSession.createDataFrame([(x,) for x in hot], "element long"))
-    counted = sets.join(known, "element", "left_anti").repartition("element").mapInArrow(_count_elements, "element long, node long, n long, below long, above boolean, sets long")
-    last = sets.join(known, "element").withColumn("sets", F.lit(2**62))
-    keys = materialise(counted.unionByName(last).repartition("node").mapInArrow(_cut_prefixes, "element long, node long"), "prefixes")
-    least = keys.groupBy("element").agg(F.min("node").alias("b"), F.count(F.lit(1)).alias("sets")).where("sets > 1")
-    edges = keys.join(least, "element").select(F.col("node").alias("a"), "b").where("a <> b").distinct()
-    return connected(edges).select("node", F.col("label").alias("family"))
-
-
-def _links(docs: DataFrame, found: DataFrame, families: DataFrame, id_col: str, text_col: str, seed: int) -> DataFrame:
-    """Verified links a, b that span every component of two nodes or more."""
-    reps = found.where("elements IS NOT NULL").groupBy("node").agg(F.min("id").alias("id"), F.max("n").alias("n"))
-    families = materialise(families.join(reps, "node"), "families")
-    # Sizes s and s * 100 / PERCENT are in one band or in neighbouring ones.
-    banded = families.withColumn("band", F.floor(F.log(F.col("n").cast("double")) / math.log(100 / PERCENT) + 1e-9))
-    bands = banded.groupBy("family", "band").agg(F.count(F.lit(1)).alias("sets"), F.sum("n").alias("elements"))
-    blocks = F.ceil(F.greatest(F.col("sets") / BLOCK, F.col("elements") / BLOCK_ELEMENTS)).cast("int")
-    bands = materialise(bands.withColumn("blocks", blocks), "bands")
-    whole_family = bands.groupBy("family").agg(((F.sum("sets") <= BLOCK) & (F.sum("elements") <= BLOCK_ELEMENTS)).alias("whole"))
-    above = bands.select("family", (F.col("band") - 1).alias("band"), F.col("blocks").alias("above"))
-    below = bands.select("family", (F.col("band") + 1).alias("band"), F.col("blocks").alias("below"))
-    plan = bands.join(whole_family, "family").join(above, ["family", "band"], "left").join(below, ["family", "band"], "left").na.fill(0, ["above", "below"])
-    placed = banded.join(plan, ["family", "band"]).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks").cast("long")).cast("int"))
-    # Tiles are named by family, the lower block and the higher block; a family of few sets is one tile.
-    name = lambda b, x, c, y: F.concat_ws(":", b, x, c, y)
-    zero = F.sequence(F.lit(0), F.lit(0))
-    upto = lambda n: F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
-    band, block = F.col("band"), F.col("block")
-    own = F.transform(upto(F.col("blocks")), lambda k: F.struct(name(band, F.least(block, k), band, F.greatest(block, k)).alias("tile"), F.when(k == block, 0).otherwise(F.when(block < k, 0).otherwise(1)).alias("side")))
-    up = F.transform(upto(F.col("above")), lambda k: F.struct(name(band, block, band + 1, k).alias("tile"), F.lit(0).alias("side")))
-    down = F.transform(upto(F.col("below")), lambda k: F.struct(name(band - 1, k, band, block).alias("tile"), F.lit(1).alias("side")))
-    alone = F.transform(zero, lambda k: F.struct(F.lit("all").alias("tile"), F.lit(0).alias("side")))
-    tiles = materialise(placed.select("id", "node", "family", F.when(F.col("whole"), alone).otherwise(F.concat(own, up, down)).alias("tiles")), "tiles")
+def _linked_in_tiles(docs: DataFrame, tiles: DataFrame, seed: int) -> DataFrame:
+    """Links a, b between groups, of a written table node, id, group, tiles (array of tile and side).  The sets are made from the texts again."""
 
     def again(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in short_batches(batches):
             elements = [shingle_hashes(t or b"", seed) for t in batch.column("text").cast(pa.binary()).to_pylist()]
-            own = np.array([int.from_bytes(blake2b(x.tobytes(), digest_size=8 * 2).digest()[:8], "little", signed=True) for x in elements], np.int64)
+            own = np.array([int.from_bytes(blake2b(x.tobytes(), digest_size=16).digest()[:8], "little", signed=True) for x in elements], np.int64)
             good = pa.array(own == batch.column("node").to_numpy())  # of rows that share a doc_id, the one with this set
-            yield pa.RecordBatch.from_arrays([batch.column("node"), batch.column("family"), batch.column("tiles"), pa.array([x.tobytes() for x in elements], pa.binary())], ["node", "family", "tiles", "elements"]).filter(good)
+            yield pa.RecordBatch.from_arrays([batch.column("group"), batch.column("tiles"), pa.array([x.tobytes() for x in elements], pa.binary())], ["group", "tiles", "elements"]).filter(good)
 
-    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    texts = docs.select(F.col("doc_id").alias("id"), "text")
     places = tiles.agg(F.sum(F.size("tiles"))).first()[0] or 0
-    joined = texts.join(F.broadcast(tiles) if places <= BROADCAST_ROWS else tiles, "id").select("text", "node", "family", "tiles")
-    held = joined.mapInArrow(again, "node long, family long, tiles array<struct<tile:string,side:int>>, elements binary")
-    rows = held.select("node", "family", "elements", F.explode("tiles").alias("t")).select("node", "family", "t.tile", "t.side", "elements")
-    return rows.groupBy("family", "tile").applyInArrow(_tile, "a long, b long")
+    joined = texts.join(F.broadcast(tiles) if places <= BROADCAST_ROWS else tiles, "id").select("text", "node", "group", "tiles")
+    held = joined.mapInArrow(again, "group long, tiles array<struct<tile:string,side:int>>, elements binary")
+    rows = held.select("group", "elements", F.explode("tiles").alias("t")).select("group", "elements", "t.tile", "t.side")
+    return rows.groupBy("tile").applyInArrow(_tile, "a long, b long").distinct()
+
+
+def _ties_of(found: DataFrame) -> DataFrame:
+    """node, hub: ties that join all nodes which share a prefix element; the hub is the smaller node."""
+    sets = found.select(F.explode("elements").alias("element"), "node", "n", "below")
+    bound = int(COUNTED * 2**64)
+    # Elements are unsigned numbers held as signed ones.
+    above = (F.col("element") < 0) | (F.col("element") >= bound) if bound < 2**63 else (F.col("element") < 0) & (F.col("element") >= bound - 2**64)
+    sets = sets.select("element", "node", "n", "below", above.alias("above"))
+    often = sets.agg(F.count(F.lit(1)).alias("rows"), F.expr(f"approx_top_k(element, {HOT_SHARE}, {HOT_SHARE * 16})").alias("top")).first()
+    hot = [x["item"] for x in often["top"] or [] if x["count"] >= max(2, often["rows"] // HOT_SHARE)]  # HOT_SHARE at most
+    known = F.col("element").isin(hot)
+    counted = sets.where(~known).repartition("element").mapInArrow(_count_elements, "element long, node long, n long, below long, above boolean, sets long")
+    last = sets.where(known).withColumn("sets", F.lit(2**62))
+    keys = materialise(counted.unionByName(last).repartition("node").mapInArrow(_cut_prefixes, "element long, node long, hub long"), "prefixes")
+    over = keys.where("hub IS NULL").select("element", "node").repartition("element").mapInArrow(_tie_tasks, "node long, hub long")
+    return keys.where("hub IS NOT NULL").select("node", "hub").unionByName(over).distinct()
+
+
+def _blocks(sets, elements):
+    return F.ceil(F.greatest(sets / BLOCK, elements / BLOCK_ELEMENTS)).cast("long")
+
+
+def _star_tiles(ties: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Tiles of each node with the least one that it is tied to, as node, id, group, tiles; every node is a group."""
+    stars = materialise(ties.groupBy("node").agg(F.min("hub").alias("hub")).join(nodes.select("node", "n"), "node"), "stars")
+    hubs = stars.groupBy("hub").agg(F.count(F.lit(1)).alias("sets"), _blocks(F.count(F.lit(1)), F.sum("n")).alias("blocks"))
+    large = materialise(hubs.where("blocks > 1"), "hubs")
+    tile = F.concat_ws(":", "hub", F.pmod(F.xxhash64("node"), F.coalesce(F.col("blocks"), F.lit(1).cast("long"))))
+    placed = look_up(stars, "hub", large, "sets", stars.count(), "node").select("node", "hub", tile.alias("tile"))
+    every = placed.select("node", "tile", F.lit(1).alias("side")).unionByName(placed.select(F.col("hub").alias("node"), "tile", F.lit(0).alias("side")).distinct())
+    return every.groupBy("node").agg(F.collect_list(F.struct("tile", "side")).alias("tiles")).join(nodes, "node").select("node", "id", F.col("node").alias("group"), "tiles")
+
+
+def _family_tiles(ties: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Tiles for ties between groups, as node, id, group, tiles.  ties: written, with the number of ties; nodes: node, id, n, group, written."""
+    total = nodes.count()
+    group = nodes.select("node", "group")
+    first = ties.join(group.withColumnRenamed("group", "own"), "node")
+    hubs = ties.groupBy("hub").agg(F.count(F.lit(1)).alias("ties")).join(group.select(F.col("node").alias("hub"), F.col("group").alias("other")), "hub")
+    across = look_up(first, "hub", materialise(hubs, "hubs"), "ties", ties.count(), "node").where("own <> other")
+    families = connected(across.select(F.col("own").alias("a"), F.col("other").alias("b")))
+    sizes = nodes.groupBy("group").agg(F.count(F.lit(1)).alias("sets"))
+    families = materialise(families.select(F.col("node").alias("group"), F.col("label").alias("family")).join(sizes, "group"), "families")
+    main = families.groupBy("family").agg(F.max(F.struct("sets", "group")).alias("x")).select("family", F.col("x.group").alias("main"))
+    families = materialise(families.join(main, "family"), "families")
+    held = look_up(nodes, "group", families, "sets", total, "node").where("family IS NOT NULL")
+    # Sizes s and s * 100 / PERCENT are in one band or in neighbouring ones; a class is a band of the main group or of the others.
+    band = F.floor(F.log(F.col("n").cast("double")) / math.log(100 / PERCENT) + 1e-9)
+    held = materialise(held.select("node", "id", "n", "group", "family", (2 * band + (F.col("group") == F.col("main")).cast("long")).alias("class")), "families")
+    classes = held.groupBy("family", "class").agg(F.count(F.lit(1)).alias("sets"), F.sum("n").alias("elements"))
+    plan = classes.groupBy("family").agg(
+        F.map_from_entries(F.collect_list(F.struct("class", _blocks(F.col("sets"), F.col("elements"))))).alias("blocks"),  # as many as bands, twice
+        F.sum("sets").alias("sets"),
+        ((F.sum("sets") <= BLOCK) & (F.sum("elements") <= BLOCK_ELEMENTS)).alias("whole"),
+    )
+    placed = look_up(held, "family", materialise(plan, "plan"), "sets", total, "node")
+    own = placed.withColumn("block", F.pmod(F.xxhash64("node"), F.coalesce(F.col("blocks")[F.col("class")], F.lit(1).cast("long"))))
+    me = F.struct(F.col("class").alias("class"), F.col("block").alias("block"))
+
+    def with_class(k):
+        blocks = F.coalesce(F.col("blocks")[k], F.lit(0).cast("long"))
+        both_main = (F.col("class") % 2 == 1) & (k % 2 == 1)
+        each = F.when((blocks > 0) & ~both_main, F.sequence(F.lit(0).cast("long"), blocks - 1)).otherwise(F.array().cast("array<bigint>"))
+        return F.transform(each, lambda j: F.struct(k.alias("class"), j.alias("block")))
+
+    def tile(x):
+        name = lambda s: F.concat_ws(":", s["class"], s["block"])
+        side = F.when(x == me, F.lit(None)).when(me < x, 0).otherwise(1).cast("int")
+        return F.struct(F.concat_ws(":", "family", name(F.least(x, me)), name(F.greatest(x, me))).alias("tile"), side.alias("side"))
+
+    start = 2 * F.floor(F.col("class") / 2) - 2
+    partners = F.flatten(F.transform(F.sequence(start, start + 5), with_class))
+    alone = F.array(F.struct(F.col("family").cast("string").alias("tile"), F.lit(None).cast("int").alias("side")))
+    return own.select("node", "id", "group", F.when(F.col("whole"), alone).otherwise(F.transform(partners, tile)).alias("tiles"))
+
+
+def _grouped(nodes: DataFrame, labels: DataFrame, by: str = "node") -> DataFrame:
+    """nodes with group: the label of column ``by``, or else itself."""
+    return nodes.join(labels.select(F.col("node").alias(by), "label"), by, "left").withColumn("group", F.coalesce("label", by)).drop("label")
+
+
+def _groups(docs: DataFrame, found: DataFrame, seed: int) -> DataFrame:
+    """node, id, n, rows, group of every node; groups are the connected components of the links."""
+    sets = found.where("n > 0")
+    nodes = materialise(sets.groupBy("node").agg(F.min("id").alias("id"), F.max("n").alias("n"), F.count(F.lit(1)).alias("rows")), "nodes")
+    ties = materialise(_ties_of(found.where("elements IS NOT NULL")), "ties")
+    stars = connected(materialise(_linked_in_tiles(docs, materialise(_star_tiles(ties, nodes), "tiles"), seed), "links"))
+    nodes = materialise(_grouped(nodes, stars), "nodes")
+    links = materialise(_linked_in_tiles(docs, materialise(_family_tiles(ties, nodes), "tiles"), seed), "links")
+    labels = materialise(connected(links), "labels")
+    sizes = nodes.groupBy("group").agg(F.count(F.lit(1)).alias("sets"))
+    final = materialise(sizes.join(labels.withColumnRenamed("node", "group"), "group"), "labels")
+    return look_up(nodes, "group", final, "sets", nodes.count(), "node").select("node", "id", "n", "rows", F.coalesce("label", "group").alias("group"))
 
 
 def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -281,13 +379,11 @@ def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         if kinds.where("x <> y").isEmpty():
             break
         seed += 1  # two sets share the 64 bits that name a node
-    links = materialise(_links(docs, found, _families(found.where("elements IS NOT NULL")), "doc_id", "text", seed), "links")
-    labels = connected(links)
-    nodes = found.where("n > 0").groupBy("node").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("rows"))
-    labelled = nodes.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    least = labelled.groupBy("label").agg(F.min("id").alias("component"), F.sum("rows").alias("all"))
+    nodes = materialise(_groups(docs, found, seed), "nodes")
+    least = nodes.groupBy("group").agg(F.min("id").alias("component"), F.sum("rows").alias("all"), F.count(F.lit(1)).alias("sets")).where("all > 1")
     # Nodes alone in their component, with one row, need no look-up.
-    table = materialise(labelled.join(least, "label").where("all > 1").select(F.col("node").alias("key"), "rows", "component"), "components")
+    held = look_up(nodes, "group", materialise(least, "components"), "sets", nodes.count(), "node").where("all > 1")
+    table = materialise(held.select(F.col("node").alias("key"), "rows", "component"), "components")
     total = found.count()
     keyed = found.select("id", "n", F.when(F.col("n") > 0, F.col("node")).alias("key"))
     joined = look_up(keyed.where("n > 0"), "key", table, "rows", total, "id")

@@ -182,12 +182,22 @@ def test_near_families_and_tiles(spark, seed, monkeypatch):
     assert sorted(map(tuple, got.collect())) == sorted(brute.near(pairs))
 
 
+def test_near_large_family(spark):
+    """Copies that are linked to the one original, most of them not to each other, and copies close to each other."""
+    r = random.Random(9)
+    base, close = prose(r, 60, 9999).split(), prose(r, 200, 9999).split()
+    changed = lambda words, k: " ".join([*words[:k], f"n{r.randrange(10**6)}", *words[k + 1 :]])
+    texts = [changed(base, r.randrange(60)) for _ in range(1500)] + [" ".join(base)] + [changed(close, r.randrange(200)) for _ in range(1500)]
+    got = ngram_join.components(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert {r.doc_id: r.component_id for r in got} == {k: 0 if k <= 1500 else 1501 for k in range(len(texts))}
+
+
 def test_near_bitmap_links_are_exact():
     rng = np.random.default_rng(2)
     pool = np.unique(rng.integers(0, 2**63, 400).astype(np.uint64))
     sets = [np.sort(rng.choice(pool, rng.integers(1, 60), replace=False)) for _ in range(60)]
     sets += [np.sort(np.delete(s, rng.integers(len(s)))) for s in sets if len(s) > 6]
-    got = ngram_join._link(np.arange(len(sets)), sets, None, 80)
+    got = ngram_join._link(sets, np.arange(len(sets)), None, 80)
     for a, b in got:
         both = len(np.intersect1d(sets[a], sets[b]))
         assert 100 * both >= 80 * (len(sets[a]) + len(sets[b]) - both)
