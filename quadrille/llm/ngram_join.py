@@ -43,7 +43,7 @@ WORDS, PERCENT = 5, 80
 #: Share of the hash range that comes first; so much over the prefix's share of a set that few sets need the rest.
 COUNTED = 0.28
 #: Sets, and elements of all its sets, that a block has at most, about; a tile has two blocks.
-BLOCK, BLOCK_ELEMENTS = 1500, 3_000_000
+BLOCK, BLOCK_ELEMENTS = 600, 1_500_000
 #: An element in at least one of HOT_SHARE counted rows is hot.
 HOT_SHARE = 2048
 
