@@ -1,19 +1,22 @@
 """Quality rules by weak supervision (native).
 
-Each rule votes good, bad or abstains.  Documents are counted by their pattern of votes; expectation-maximisation over
-the patterns, of which there are 3 ** rules at most whatever the corpus, estimates how often each rule votes how on
-good and on bad documents; the posterior probability of being good replaces a filter that every rule must pass.  The
+Each rule votes good, bad or abstains, and for every kind of junk (DEFECTS) there are two rules or more that look at
+different evidence.  Documents are counted by their pattern of votes; expectation-maximisation over the patterns, of
+which there are 3 ** rules at most whatever the corpus, fits a mixture of good documents and one class for each kind of
+junk, and so estimates how often each rule votes bad in each class.  The posterior probability of being good replaces a
+filter that every rule must pass: a bad vote that the other rules on the same evidence contradict doesn't reject.  The
 base rules (too few words, too much repetition) come first: what fails them is out, and no part of the estimate.
 
+Kinds of junk have classes of their own so that a common kind doesn't make a rare one look good.
+
 Defined cases: a null or empty text has no words, fails the base rules and is not kept.  Repeated rows are judged
 alike, each for itself.  An empty table gives an empty result.  With ``carry``, input columns that have the name of a
-result column are replaced.
+result column are replaced; ``keep`` returns the input's columns as they were, whatever their names.
 """
 
 from __future__ import annotations
 
 import math
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -22,10 +25,12 @@ from quadrille.llm.common import SPACE, WORD, materialise, whole
 
 #: Two hashes of a three-word window, 96 bits together, stand for it inside one document.
 LEAST_WORDS, MOST_REPEATED = 50, 50
-#: The most good documents of which a rule may be estimated to misfire.
-MOST_ALARM = 0.01
+#: No rule is taken to vote bad more rarely than this, or to miss more rarely, in any class.
+LEAST_RATE = 0.01
+#: What the classes are believed to be before any document is seen, and how many documents the belief counts for.
+BELIEF, GOOD_SHARE, CAUGHT, ALARM = 50.0, 0.8, 0.8, 0.02
 
-COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_capitals", "n_shouts", "n_closed")
+COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_capitals", "n_shouts", "n_closed", "n_marked", "n_letters", "n_distinct", "n_long")
 BASE = COUNTS[:5]
 RESULT = (*COUNTS, "base_failed", "posterior", "kept")
 
@@ -66,6 +71,10 @@ def counted(docs: DataFrame, text_col: str = "text") -> DataFrame:
             "n_capitals": F.regexp_count(text, F.lit("[A-Z]")).cast("long"),
             "n_shouts": F.regexp_count(text, F.lit("!")).cast("long"),
             "n_closed": F.size(F.filter("__lines", lambda x: x.rlike(r"[.!?:;\"”»)।॥。！？…؟۔][\x20\x09-\x0D]*$"))).cast("long"),
+            "n_marked": F.regexp_count(text, F.lit(r"[#*$%&|<>][^\x20\x09-\x0D]*+")).cast("long"),
+            "n_letters": F.regexp_count(text, F.lit(r"[\p{L}\p{M}\p{N}]")).cast("long"),
+            "n_distinct": F.size(F.array_distinct("__words")).cast("long"),
+            "n_long": F.size(F.filter("__words", lambda w: F.length(w) > 25)).cast("long"),
         }
     ).drop("__words", "__lines", "__windows")
 
@@ -75,70 +84,90 @@ def _vote(bad: Column, good: Column) -> Column:
 
 
 def rules() -> dict[str, Column]:
-    """0 for bad, 1 to abstain, 2 for good.
-
-    Lists, verse and tables have open lines too, so these are held against a text only if another rule votes bad.
-    """
+    """0 for bad, 1 to abstain, 2 for good."""
     c = F.col
     per_word = lambda n: c(n) / F.greatest(c("n_words"), F.lit(1))
     per_line = lambda n: c(n) / F.greatest(c("n_lines"), F.lit(1))
     per_char = lambda n: c(n) / F.greatest(c("word_chars"), F.lit(1))
-    alone = {
-        "word length": _vote((per_word("word_chars") < 2.5) | (per_word("word_chars") > 14), per_word("word_chars").between(3, 10)),
+    vocabulary = c("n_distinct") / F.sqrt(F.greatest(c("n_words"), F.lit(1)))
+    return {
         "symbols": _vote(per_word("n_symbols") > 0.1, per_word("n_symbols") < 0.02),
+        "marked words": _vote(per_word("n_marked") > 0.08, per_word("n_marked") < 0.02),
+        "letters": _vote(per_char("n_letters") < 0.85, per_char("n_letters") > 0.93),
         "repeated lines": _vote((c("n_lines") >= 5) & (per_line("n_dup_lines") > 0.4), per_line("n_dup_lines") <= 0.1),
         "repeated words": _vote(per_word("n_repeat_words") > 0.3, per_word("n_repeat_words") < 0.2),
+        "vocabulary": _vote(vocabulary < 3, vocabulary > 6),
         "capitals": _vote(per_char("n_capitals") > 0.3, per_char("n_capitals") < 0.15),
         "shouting": _vote(per_word("n_shouts") > 0.1, per_word("n_shouts") < 0.02),
+        "word length": _vote((per_word("word_chars") < 2.5) | (per_word("word_chars") > 14), per_word("word_chars").between(3, 10)),
+        "long words": _vote(per_word("n_long") > 0.1, per_word("n_long") < 0.02),
+        "closed lines": _vote((c("n_lines") >= 3) & (per_line("n_closed") < 0.2), per_line("n_closed") > 0.6),
     }
-    bad = reduce(Column.__or__, [vote == 0 for vote in alone.values()])
-    return alone | {"closed lines": _vote(bad & (c("n_lines") >= 3) & (per_line("n_closed") < 0.2), per_line("n_closed") > 0.6)}
 
 
-def fit(patterns: dict[int, int], n_rules: int, good: float = 0.8, caught: float = 0.15, alarm: float = 0.001, strength: float = 4.0, rounds: int = 200) -> tuple[float, list[tuple[float, float, float]]]:
+#: Kinds of junk, and the rules that look for each.  Lists, verse and tables have open lines too: that rule looks for none.
+DEFECTS = {
+    "symbols": ("symbols", "marked words", "letters"),
+    "repetition": ("repeated lines", "repeated words", "vocabulary"),
+    "shouting": ("capitals", "shouting", "letters"),
+    "wording": ("word length", "long words"),
+}
+
+
+class Mixture:
+    """Shares of the classes, and each class's rate of bad votes among the votes of each rule.  Class 0 is good."""
+
+    def __init__(self, shares: list[float], rates: list[list[float]]):
+        self.shares, self.rates = shares, rates
+
+    def log_masses(self, votes: list[int]) -> list[float]:
+        """For each class, the logarithm of its share times the probability of the votes; abstentions add nothing."""
+        return [math.log(share) + sum(math.log(r if v == 0 else 1 - r) for r, v in zip(rates, votes, strict=True) if v != 1) for share, rates in zip(self.shares, self.rates, strict=True)]
+
+    def posterior(self, votes: list[int]) -> list[float]:
+        logs = self.log_masses(votes)
+        masses = [math.exp(x - max(logs)) for x in logs]
+        return [m / sum(masses) for m in masses]
+
+
+def fit(patterns: dict[int, int], names: list[str], defects: dict[str, tuple[str, ...]] = DEFECTS, rounds: int = 300) -> Mixture:
     """Expectation-maximisation over counts of vote patterns (base 3, first rule least).
 
-    Returns the log-odds of being good before any vote, and for each rule the log-odds that each of its votes adds.  An
-    abstention adds nothing.  Before any data, a share ``good`` of documents is good, and a rule that doesn't abstain
-    votes bad on a share ``caught`` of the bad and ``alarm`` of the good ones; this belief counts as ``strength`` times
-    as many documents as there are, at every size of the corpus, and keeps the classes from changing places.  The share
-    of good documents that a rule is estimated to call bad stays within MOST_ALARM, so a kind of junk that only one rule
-    sees isn't taken for good because it is common.
+    The belief (a share GOOD_SHARE is good; a rule votes bad on a share CAUGHT of the junk that it looks for and ALARM of
+    all else) counts for BELIEF documents, at every size of the corpus.
     """
-    n = max(1, sum(patterns.values()))
-    votes = {p: [p // 3**k % 3 for k in range(n_rules)] for p in patterns}
-    held = strength * n
-    prior, tables = good, [(caught, alarm)] * n_rules
+    own = [set(), *map(set, defects.values())]
+    start = [GOOD_SHARE] + [(1 - GOOD_SHARE) / len(defects)] * len(defects)
+    belief = [[CAUGHT if name in kind else ALARM for name in names] for kind in own]
+    votes = {p: [p // 3**k % 3 for k in range(len(names))] for p in patterns}
+    total = sum(patterns.values())
+    now = Mixture(start, belief)
     for _ in range(rounds):
-        start, weights = _log_odds(prior), [_weights(*t) for t in tables]
-        post = {p: _sigmoid(start + sum(w[v] for w, v in zip(weights, votes[p], strict=True))) for p in patterns}
-        new_prior = (sum(patterns[p] * post[p] for p in patterns) + held * good) / (n + held)
-        new = []
-        for k in range(n_rules):
-            rates = []
-            for kind, belief, before in ((0, caught, 1 - good), (1, alarm, good)):
-                voted = {p: patterns[p] * (post[p] if kind else 1 - post[p]) for p in patterns if votes[p][k] != 1}
-                bad = sum(m for p, m in voted.items() if votes[p][k] == 0)
-                rate = (bad + held * before * belief) / (sum(voted.values()) + held * before)
-                rates.append(min(rate, MOST_ALARM) if kind else rate)
-            new.append(tuple(rates))
-        moved = max(abs(x - y) for t, u in zip([(prior,), *tables], [(new_prior,), *new], strict=True) for x, y in zip(t, u, strict=True))
-        prior, tables = new_prior, new
-        if moved < 1e-10:
+        post = {p: now.posterior(votes[p]) for p in patterns}
+        shares = [(BELIEF * s + sum(n * post[p][c] for p, n in patterns.items())) / (BELIEF + total) for c, s in enumerate(start)]
+        rates = []
+        for c in range(len(own)):
+            rates.append([])
+            for k in range(len(names)):
+                voted = sum(n * post[p][c] for p, n in patterns.items() if votes[p][k] != 1)
+                bad = sum(n * post[p][c] for p, n in patterns.items() if votes[p][k] == 0)
+                held = BELIEF * start[c]
+                rates[-1].append(min(max((bad + held * belief[c][k]) / (voted + held), LEAST_RATE), 1 - LEAST_RATE))
+        moved = max(abs(x - y) for x, y in zip([*shares, *sum(rates, [])], [*now.shares, *sum(now.rates, [])], strict=True))
+        now = Mixture(shares, rates)
+        if moved < 1e-9:
             break
-    return _log_odds(prior), [_weights(*t) for t in tables]
-
-
-def _weights(caught: float, alarm: float) -> tuple[float, float, float]:
-    return math.log(alarm / caught), 0.0, math.log((1 - alarm) / (1 - caught))
+    return now
 
 
-def _log_odds(p: float) -> float:
-    return math.log(p / (1 - p))
+def posterior_column(model: Mixture, votes: list[Column]) -> Column:
+    """The probability of being good."""
 
+    def mass(share: float, rates: list[float]) -> Column:
+        return sum((F.when(v == 0, math.log(r)).when(v == 2, math.log(1 - r)).otherwise(0.0) for v, r in zip(votes, rates, strict=True)), F.lit(math.log(share)))
 
-def _sigmoid(x: float) -> float:
-    return 1 / (1 + math.exp(-x)) if x >= 0 else math.exp(x) / (1 + math.exp(x))
+    good, *junk = [mass(s, r) for s, r in zip(model.shares, model.rates, strict=True)]
+    return 1 / (1 + sum((F.exp(x - good) for x in junk), F.lit(0.0)))
 
 
 def assess(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.5, carry: bool = False) -> DataFrame:
@@ -147,11 +176,22 @@ def assess(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", thre
     The counts are made in one pass over the texts and written, narrow unless ``carry``; votes are read from there.
     """
     names = [c for c in docs.columns if c.lower() not in RESULT] if carry else [id_col]
+    return _judged(docs.select(*[F.col(f"`{c}`") for c in dict.fromkeys([*names, text_col])]), names, text_col, threshold)
+
+
+def keep(docs: DataFrame, text_col: str = "text", threshold: float = 0.5) -> DataFrame:
+    """The rows that are kept, with the columns that they came with."""
+    held = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row"))
+    judged = _judged(held.withColumn("__text", F.col("__row").getField(text_col)), ["__row"], "__text", threshold)
+    return judged.where("kept").select(*[F.col("__row").getField(c).alias(c) for c in docs.columns])
+
+
+def _judged(docs: DataFrame, names: list[str], text_col: str, threshold: float) -> DataFrame:
     held = materialise(counted(docs, text_col).select(*[F.col(f"`{c}`") for c in names], *COUNTS), "quality-counts")
-    votes = list(rules().values())
+    by_name = rules()
+    votes = list(by_name.values())
     pattern = sum((v * 3**k for k, v in enumerate(votes)), F.lit(0))
     failed = (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > MOST_REPEATED * F.col("n_words"))
     patterns = {r[0]: r[1] for r in held.where(~failed).groupBy(pattern.alias("p")).agg(F.count(F.lit(1)).alias("n")).collect()}
-    start, weights = fit(patterns, len(votes))
-    odds = sum((F.when(v == 0, w[0]).when(v == 1, w[1]).otherwise(w[2]) for v, w in zip(votes, weights, strict=True)), F.lit(start))
-    return held.withColumn("base_failed", failed).withColumn("posterior", 1 / (1 + F.exp(-odds))).withColumn("kept", ~failed & (F.col("posterior") >= threshold))
+    model = fit(patterns, list(by_name))
+    return held.withColumn("base_failed", failed).withColumn("posterior", posterior_column(model, votes)).withColumn("kept", ~failed & (F.col("posterior") >= threshold))

@@ -149,14 +149,56 @@ def test_quality_of_open_lines(spark):
     assert {x.doc_id: x.kept for x in quality.assess(docs).collect()} == {k: m < 4 for k, m in enumerate(kinds)}
 
 
-@pytest.mark.parametrize("share", [0.01, 0.2, 1 / 3, 0.6, 0.9])
-@pytest.mark.parametrize("rule", range(7))
-def test_quality_rule_keeps_its_weight(rule, share):
-    good = sum(2 * 3**k for k in range(7))
-    bad = good - 2 * 3**rule
-    start, weights = quality.fit({good: round(9000 * (1 - share)), bad: round(9000 * share)}, 7)
-    odds = {p: start + sum(w[p // 3**k % 3] for k, w in enumerate(weights)) for p in (good, bad)}
-    assert odds[good] > 0 > odds[bad]
+def vote_pattern(names, bad=(), abstain=()):
+    return sum((0 if n in bad else 1 if n in abstain else 2) * 3**k for k, n in enumerate(names))
+
+
+def good_chance(model, names, pattern):
+    return model.posterior([pattern // 3**k % 3 for k in range(len(names))])[0]
+
+
+@pytest.mark.parametrize("share", [0.01, 0.2, 1 / 3, 0.6])
+@pytest.mark.parametrize("kind", quality.DEFECTS)
+def test_quality_kinds_of_junk_stay_junk(kind, share):
+    """Junk that its rules agree on is rejected however common it is, and so is rare junk of any other kind beside it."""
+    names = list(quality.rules())
+    good, bad = vote_pattern(names), vote_pattern(names, quality.DEFECTS[kind])
+    counts = Counter({good: round(9000 * (1 - share)), bad: round(9000 * share)})
+    others = [vote_pattern(names, rules) for rules in quality.DEFECTS.values()]
+    counts.update(dict.fromkeys(others, 5))
+    model = quality.fit(counts, names)
+    assert good_chance(model, names, good) >= 0.5 and all(good_chance(model, names, p) < 0.5 for p in [bad, *others])
+
+
+def test_quality_contradicted_votes_do_not_reject(spark):
+    """The verdict isn't that of a filter which every rule must pass."""
+    r = random.Random(3)
+    texts = [clean_text(r) for _ in range(60)] + [clean_text(r).replace(" of ", " # $ % & ") for _ in range(10)]
+    texts += ["\n".join(f"{x}?.,;-{x}.,:;?" for x in clean_text(r).split()) for _ in range(3)]  # few letters, no symbols
+    judged = quality.assess(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    votes = F.array(*[v == 0 for v in quality.rules().values()])
+    got = {x.doc_id: (x.kept, x.any_bad) for x in judged.withColumn("any_bad", F.exists(votes, lambda v: v)).collect()}
+    assert [got[k] for k in range(73)] == [(True, False)] * 60 + [(False, True)] * 10 + [(True, True)] * 3
+
+
+def test_quality_recovers_accuracies():
+    """Rates of simulated votes, and the classes of documents that were not labelled."""
+    rng = np.random.default_rng(0)
+    names, kinds = ["a", "b", "c", "d", "e"], {"one": ("a", "b", "c"), "two": ("d", "e")}
+    shares, rates = [0.7, 0.2, 0.1], [[0.03, 0.05, 0.02, 0.04, 0.02], [0.9, 0.7, 0.8, 0.1, 0.05], [0.05, 0.1, 0.05, 0.85, 0.9]]
+    kind = rng.choice(3, 40_000, p=shares)
+    bad, silent = rng.random((40_000, 5)) < np.array(rates)[kind], rng.random((40_000, 5)) < 0.1
+    pattern = (np.where(silent, 1, np.where(bad, 0, 2)) * 3 ** np.arange(5)).sum(1)
+    model = quality.fit(Counter(pattern.tolist()), names, kinds)
+    assert np.abs(np.array(model.shares) - shares).max() < 0.03 and np.abs(np.array(model.rates) - rates).max() < 0.06
+    kept = np.array([good_chance(model, names, int(p)) >= 0.5 for p in pattern[:4000]])
+    assert (kept == (kind[:4000] == 0)).mean() > 0.95
+
+
+def test_quality_keeps_columns(spark):
+    r = random.Random(3)
+    docs = spark.createDataFrame([(1, clean_text(r), "mine", 5, "p"), (2, None, "x", 6, None)], "doc_id long, text string, kept string, n_words int, __words string")
+    assert [tuple(x) for x in quality.keep(docs).collect()] == [tuple(docs.first())] and quality.keep(docs).schema == docs.schema
 
 
 def test_near(odd, pairs):
