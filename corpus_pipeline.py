@@ -20,7 +20,7 @@ def _columns(docs: DataFrame) -> list:
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose posterior quality is too low, or that fail the base rules, go."""
-    return quality.assess(docs, carry=True).where("kept").select(*_columns(docs))
+    return quality.keep(docs)
 
 
 def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
