@@ -174,7 +174,7 @@ def test_quality_contradicted_votes_do_not_reject(spark):
     """The verdict isn't that of a filter which every rule must pass."""
     r = random.Random(3)
     texts = [clean_text(r) for _ in range(60)] + [clean_text(r).replace(" of ", " # $ % & ") for _ in range(10)]
-    texts += ["\n".join(f"{x}?.,;-{x}.,:;?" for x in clean_text(r).split()) for _ in range(3)]  # few letters, no symbols
+    texts += ["\n".join(f"{x},;.:" for x in clean_text(r).split()) for _ in range(3)]  # few letters, no symbols
     judged = quality.assess(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
     votes = F.array(*[v == 0 for v in quality.rules().values()])
     got = {x.doc_id: (x.kept, x.any_bad) for x in judged.withColumn("any_bad", F.exists(votes, lambda v: v)).collect()}
