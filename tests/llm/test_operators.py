@@ -414,7 +414,7 @@ def test_url_tree_with_deep_paths(spark):
 def test_private(odd, pairs):
     for r in pii.report(odd).collect():
         want = brute.private_base(pairs[r.doc_id][1])
-        assert tuple(r)[1:5] == tuple(Counter(k for k, _, _ in want)[k] for k in pii.KINDS)
+        assert tuple(r)[1:5] == tuple(Counter(k for k, _, _ in want)[k] for k in pii.BASE_KINDS)
         assert r.base_sha256 == hashlib.sha256(",".join(f"{k}:{a}:{b}" for k, a, b in want).encode()).hexdigest()
         assert {f"{k}:{a}:{b}" for k, a, b in want} <= set(r.spans.split(","))
 
@@ -428,6 +428,20 @@ def test_private_model(spark):
     assert got[2][1] == "" and got[3] == ("é [email] z", "email:2:8")
 
 
+def test_private_planted(spark):
+    """Secrets planted in documents, which have no base pattern, are found; clean documents get no added span."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    spans = {r.doc_id: (r.spans, r.n_spans, r.n_email + r.n_ip + r.n_card + r.n_phone) for r in pii.report(docs).collect()}
+    secret = {r.doc_id for r in docs.where("lower(text) RLIKE 'token = \"[0-9a-f]{40}\"'").collect()}
+    assert secret and sum("secret:" in spans[k][0] for k in secret) >= 0.9 * len(secret)
+    assert sum(n > base for k, (_, n, base) in spans.items() if k not in secret) <= 0.005 * len(spans)
+
+
+def test_redact_carries_columns(spark):
+    docs = spark.createDataFrame([("k", 7, 'é a@b.co, token = "0123456789abcdef0123456789abcdef01234567" z', "x"), ("l", 8, None, None)], "every string, n int, text string, row string")
+    assert [tuple(r) for r in pii.redact(docs).collect()] == [("k", 7, 'é [email], token = "[secret]" z', "x", "email:2:8,secret:19:59"), ("l", 8, "", None, "")]
+
+
 def test_trees():
     rng = np.random.default_rng(1)
     x = rng.integers(0, 5, (600, 4)).astype(float)
