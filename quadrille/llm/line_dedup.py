@@ -3,7 +3,8 @@
 The index holds, for each line key, in how many documents it stands (the exact reference counts), and for each shard of
 keys a cuckoo filter of those that reach ``min_docs``.  Both take insertions and deletions of documents, so that taking a
 batch out again restores the earlier state.  To clean documents, the keys of their lines are sent to their shards, the
-shard's filter passes those that may be repeated, the exact table confirms them, and the documents drop them.
+shard's filter passes those that may be repeated, the exact table confirms them, and the documents drop them.  That is
+the way of every key; a shard with a very common key is worked on in several parts.
 
 A line's key is the line without ASCII white space at both ends and with A-Z in lower case; a key is counted once for
 each document (row).  Empty keys are never dropped.
@@ -18,6 +19,7 @@ from __future__ import annotations
 from collections import Counter
 from collections.abc import Iterator
 from hashlib import blake2b
+from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
@@ -30,8 +32,9 @@ from quadrille.llm.common import materialise, short_batches
 MIN_DOCS = 10
 #: Aimed at number of (document, key) pairs in a shard, and the least number of shards.
 SHARD_ROWS, LEAST_SHARDS = 100_000, 64
-#: A key in at least one of HOT_SHARE pairs is decided by a broadcast set, which holds HOT_SHARE keys at most.
-HOT_SHARE = 2048
+#: Of a key in at least one of HOT_SHARE pairs, and in more than a shard should hold, the rows are dealt out over parts of
+#: its shard, each with the shard's filter.  There are HOT_SHARE such keys at most.
+HOT_SHARE = 16384
 #: Partial counts that a task holds before it sends them on.
 HELD_COUNTS = 200_000
 SPACE_BYTES = b" \t\n\x0b\x0c\r"
@@ -199,25 +202,37 @@ def changed_filters(filters: DataFrame, before: DataFrame, after: DataFrame, sha
     return filters.groupBy("shard").cogroup(moves.groupBy("shard")).applyInArrow(change, "shard int, filter binary")
 
 
-def repeated_keys(docs: DataFrame, refs: DataFrame, filters: DataFrame, shards: int, hot: frozenset[bytes], min_docs: int, id_col: str, text_col: str) -> DataFrame:
-    """id, keys: for each document the keys that it has to drop, but for the hot ones."""
+def _hot_keys(refs: DataFrame, pairs: int, min_docs: int) -> dict[bytes, int]:
+    """The number of parts for each key of which a shard would get too many rows; HOT_SHARE keys at most."""
+    bar = max(min_docs, SHARD_ROWS, pairs // HOT_SHARE)
+    return {bytes(r.key): -(-r.n // SHARD_ROWS) for r in refs.where(F.col("n") > bar).select("key", "n").collect()}
+
+
+def repeated_keys(docs: DataFrame, refs: DataFrame, filters: DataFrame, shards: int, hot: dict[bytes, int], min_docs: int, id_col: str, text_col: str) -> DataFrame:
+    """id, keys: for each document the keys that it has to drop.  hot: keys whose rows are dealt out, with the number of parts."""
 
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in short_batches(batches):
-            found = [list({line_key(x) for x in text.split(b"\n")} - {b""} - hot) for text in _texts(batch, text_col)]
+            found = [sorted({line_key(x) for x in text.split(b"\n")} - {b""}) for text in _texts(batch, text_col)]
             ids = np.repeat(np.arange(len(found)), [len(x) for x in found])
-            yield pa.RecordBatch.from_arrays([batch.column(id_col).take(pa.array(ids)), pa.array([k for x in found for k in x], pa.binary())], ["id", "key"])
+            dealt = [crc32(repr(i).encode()) for i in batch.column(id_col).to_pylist()] if hot else [0] * len(found)
+            parts = [dealt[k] % hot[x] if x in hot else 0 for k, line in enumerate(found) for x in line]
+            yield pa.RecordBatch.from_arrays([batch.column(id_col).take(pa.array(ids)), pa.array([k for x in found for k in x], pa.binary()), pa.array(parts, pa.int32())], ["id", "key", "part"])
 
     def probe(key: tuple[pa.Scalar, ...], lines: pa.Table, have: pa.Table) -> pa.Table:
+        lines = lines.select(["id", "key", "part"])
         if not len(have) or not len(lines):
-            return lines.slice(0, 0).select(["id", "key"])
-        passed = CuckooFilter.load(have["filter"][0].as_py()).contains(_halves(lines["key"]))
-        return lines.filter(pa.array(passed)).select(["id", "key"])
+            return lines.slice(0, 0)
+        return lines.filter(pa.array(CuckooFilter.load(have["filter"][0].as_py()).contains(_halves(lines["key"]))))
 
     kind = docs.schema[id_col].dataType.simpleString()
-    lines = docs.select(id_col, text_col).mapInArrow(keys, f"id {kind}, key binary").select("id", "key", _shard(shards))
-    passed = lines.groupBy("shard").cogroup(filters.groupBy("shard")).applyInArrow(probe, f"id {kind}, key binary")
-    sure = passed.join(refs.where(F.col("n") >= min_docs).select("key"), "key", "left_semi")
+    parts = F.broadcast(docs.sparkSession.createDataFrame([(bytearray(k), n) for k, n in hot.items()], "key binary, parts int"))  # HOT_SHARE rows at most
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.coalesce(n, F.lit(1)) - 1)).alias("part")
+    shared = filters.join(parts.select(_shard(shards), "parts").groupBy("shard").agg(F.max("parts").alias("parts")), "shard", "left").select("shard", "filter", every(F.col("parts")))
+    lines = docs.select(id_col, text_col).mapInArrow(keys, f"id {kind}, key binary, part int").select("id", "key", "part", _shard(shards))
+    passed = lines.groupBy("shard", "part").cogroup(shared.groupBy("shard", "part")).applyInArrow(probe, f"id {kind}, key binary, part int")
+    exact = refs.where(F.col("n") >= min_docs).select("key").join(parts, "key", "left").select("key", every(F.col("parts")))
+    sure = passed.join(exact, ["key", "part"], "left_semi")
     return sure.groupBy("id").agg(F.collect_set("key").alias("keys"))
 
 
@@ -235,8 +250,7 @@ def clean(docs: DataFrame, min_docs: int = MIN_DOCS, id_col: str = "doc_id", tex
         pairs = refs.agg(F.sum("n")).first()[0] or 0
         shards = max(LEAST_SHARDS, -(-pairs // SHARD_ROWS))
         filters = build_filters(refs, shards, min_docs)
-    hot = frozenset(bytes(r.key) for r in refs.where(F.col("n") >= max(min_docs, pairs // HOT_SHARE)).select("key").orderBy(F.desc("n"), "key").limit(HOT_SHARE).collect())
-    drops = repeated_keys(docs, refs, filters, shards, hot, min_docs, id_col, text_col)
+    drops = repeated_keys(docs, refs, filters, shards, _hot_keys(refs, pairs, min_docs), min_docs, id_col, text_col)
     names = docs.columns
     joined = docs.join(drops, F.col(f"`{id_col}`").eqNullSafe(F.col("id")), "left").drop("id")
 
@@ -244,7 +258,7 @@ def clean(docs: DataFrame, min_docs: int = MIN_DOCS, id_col: str = "doc_id", tex
         for batch in short_batches(batches):
             kept, n_lines, n_dropped = [], [], []
             for text, keys in zip(_texts(batch, text_col), batch.column("keys").to_pylist(), strict=True):
-                gone = hot.union(keys) if keys else hot
+                gone = set(keys or ())
                 lines = text.split(b"\n")
                 stay = [x for x in lines if line_key(x) not in gone]
                 kept.append(b"\n".join(stay))

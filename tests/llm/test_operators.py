@@ -80,6 +80,29 @@ def test_lines(odd, pairs):
     assert sorted(got) == brute.lines(pairs)
 
 
+def test_lines_of_hot_keys(odd, pairs, monkeypatch):
+    """Shards whose rows are dealt out over parts."""
+    monkeypatch.setattr(line_dedup, "SHARD_ROWS", 4)
+    monkeypatch.setattr(line_dedup, "LEAST_SHARDS", 3)
+    assert line_dedup._hot_keys(line_dedup.reference_counts(odd), 100, 10)
+    assert sorted((r.doc_id, r.n_lines, r.n_dropped, r.text or "") for r in line_dedup.clean(odd).collect()) == brute.lines(pairs)
+
+
+def test_line_index_over_documents(spark):
+    """A batch of documents comes and goes; the index then cleans the others as one made from them alone."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
+    stay, batch = docs.where("doc_id % 3 > 0"), docs.where("doc_id % 3 = 0")
+    refs, shards = line_dedup.reference_counts(stay).cache(), 8
+    filters = line_dedup.build_filters(refs, shards, 3)
+    every = line_dedup.changed(refs, batch, 1).cache()
+    grown = line_dedup.changed_filters(filters, refs, every, shards, 3).cache()
+    back = line_dedup.changed(every, batch, -1).cache()
+    shrunk = line_dedup.changed_filters(grown, every, back, shards, 3).cache()
+    rows = lambda df: sorted(map(tuple, df.collect()))
+    assert rows(line_dedup.clean(docs, 3, index=(every, grown, shards))) == rows(line_dedup.clean(docs, 3))
+    assert rows(line_dedup.clean(stay, 3, index=(back, shrunk, shards))) == rows(line_dedup.clean(stay, 3))
+
+
 def test_line_index_is_reversible(spark):
     r = random.Random(1)
     batch = lambda seed: spark.createDataFrame([(k, "\n".join(f"line {r.randrange(40)}" for _ in range(8))) for k in range(40)], "doc_id long, text string")
