@@ -96,6 +96,20 @@ def licence_base(text):
     return len(w), len(every), min(every, default=None), max(every, default=None), ",".join(sorted(phrases[p] for p in places if places[p]))
 
 
+def licence_notices(text, index, least):
+    """(labels, highest score) of the notices, each tried at every place."""
+    w = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", ascii_lower(text))
+    found = []
+    for x in index:
+        for b in range(-len(x["words"]), len(w)):
+            right = [0 <= b + j < len(w) and w[b + j] == v for j, v in enumerate(x["words"])]
+            if all(right[j] for j in x["places"]):
+                score = min(1.0, sum(m for m, ok in zip(x["mass"], right) if ok))
+                if score >= least:
+                    found.append((x["label"], score))
+    return {label for label, _ in found}, max((s for _, s in found), default=0.0)
+
+
 def url_base(url):
     url = url or ""
     if "://" not in url:

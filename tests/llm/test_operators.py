@@ -378,13 +378,36 @@ def test_licences(odd, pairs):
         assert set(filter(None, r.base_labels.split(","))) <= set(r.labels.split(",")) and 0 <= r.score <= 1
 
 
-def test_licence_notices(spark):
-    texts = [(k, f"some words before {n.upper()} and words after") for k, (_, n, _) in enumerate(licenses.NOTICES)]
-    texts += [(100, "the general of the public has a driving license version 2"), (101, "licensed by the apache people under a tree"), (102, None)]
-    got = {r.doc_id: r for r in licenses.scan(spark.createDataFrame(texts, "doc_id long, text string")).collect()}
+def licence_texts():
+    """Whole notices, notices with other words in them, and texts with the key words elsewhere."""
+    r, texts = random.Random(2), []
+    for _, notice, keys in licenses.NOTICES:
+        words = notice.split()
+        texts.append(f"some words before, {notice.upper()}; and words after")
+        texts.append(" ".join(w if r.random() < 0.8 else "other" for w in words))
+        texts.append(notice + " " + " ".join(keys) + " x " + " ".join(reversed(words)) + " " + notice)
+        texts.append(" ".join(words[len(words) // 2 :] + words[: len(words) // 2]))
+        texts.append(" and ".join(keys))
+    return texts
+
+
+def test_licence_notices_against_all_alignments(spark, odd, pairs):
+    """Labels and score, as found by trying each notice at each place."""
+    texts = licence_texts() + [t for _, t in pairs if t and len(t) < 5000] + [None]
+    got = {r.doc_id: r for r in licenses.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    index = licenses._index(licenses.NOTICES)
+    for k, t in enumerate(texts):
+        labels, score = brute.licence_notices(t, index, licenses.LEAST_SCORE)
+        assert set(filter(None, got[k].labels.split(","))) == labels | set(filter(None, got[k].base_labels.split(","))), t
+        assert abs(got[k].score - (1.0 if got[k].n_base else score)) < 1e-9
     for k, (label, _, _) in enumerate(licenses.NOTICES):
-        assert label in got[k].labels.split(","), label
-    assert got[100].labels == got[101].labels == got[102].labels == "" and got[102].first_word is None
+        assert label in got[5 * k].labels.split(","), label
+
+
+def test_licence_forms(spark):
+    texts = ["# SPDX-License-Identifier: Apache-2.0", "the general of the public has a driving license version 2", "licensed by the apache people under a tree", "MIT License\n\nCopyright"]
+    got = {r.doc_id: r.labels for r in licenses.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert got == {0: "apache-2.0", 1: "", 2: "", 3: "mit"}
 
 
 def test_urls(spark):
@@ -427,6 +450,16 @@ def test_url_tree_with_many_sections(spark):
     assert url_verdicts(spark, rows) == []
 
 
+def test_url_tree_of_hot_hosts(spark, monkeypatch):
+    """The same verdicts if look-ups are shuffled, and pages named by slugs."""
+    r = random.Random(5)
+    slug = lambda: "-".join(word(r.randrange(10**4)) for _ in range(5))
+    rows = [(f"http://a.tld/{part}/{slug()}.html", part == "pills") for part in ("news", "pills", "blog") for _ in range(40)] + [(f"http://{word(k)}.tld/x", False) for k in range(20)]
+    monkeypatch.setattr(common, "BROADCAST_ROWS", 0)
+    monkeypatch.setattr(common, "HOT_SHARE", 4)
+    assert url_verdicts(spark, rows) == []
+
+
 def test_url_tree_with_deep_paths(spark):
     """A bad section below the third segment, pages named by words, and a very long path."""
     rows = [(f"http://a.tld/2024/05/{12 + d}/{part}/{word(k)}", part == "pills") for d in range(3) for part in ("news", "pills", "blog") for k in range(30)]
