@@ -14,6 +14,7 @@ Defined cases: a null or empty text has no words and no labels (empty strings),
 
 from __future__ import annotations
 
+import json
 import math
 import re
 from collections import Counter
@@ -135,19 +136,10 @@ def _let(value: Column, body) -> Column:
 
 
 def _literal(index: list[dict]) -> Column:
-    list_of = lambda values: F.array(*map(F.lit, values))
-    rows = [
-        F.struct(
-            F.lit(x["label"]).alias("label"),
-            list_of(x["words"]).alias("words"),
-            list_of(x["mass"]).alias("mass"),
-            list_of(x["places"]).alias("places"),
-            list_of(x["key"]).alias("key"),
-            F.array(*[F.struct(F.lit(w).alias("word"), F.lit(at).alias("at")) for w, at in x["anchors"]]).alias("anchors"),
-        )
-        for x in index
-    ]
-    return F.array(*rows)
+    """The index as one constant."""
+    shape = "array<struct<label:string,words:array<string>,mass:array<double>,places:array<int>,key:array<string>,anchors:array<struct<word:string,at:int>>>>"
+    rows = [x | {"anchors": [{"word": w, "at": at} for w, at in x["anchors"]]} for x in index]
+    return F.from_json(F.lit(json.dumps(rows)), shape)
 
 
 def _phrase_places(words: Column, phrase: str) -> Column:
