@@ -32,8 +32,8 @@ from quadrille.llm.common import materialise, short_batches
 MIN_DOCS = 10
 #: Aimed at number of (document, key) pairs in a shard, and the least number of shards.
 SHARD_ROWS, LEAST_SHARDS = 100_000, 64
-#: Of a key in at least one of HOT_SHARE pairs, and in more than a shard should hold, the rows are dealt out over parts of
-#: its shard, each with the shard's filter.  There are HOT_SHARE such keys at most.
+#: Of a key in at least one of HOT_SHARE pairs, and in more than an average shard holds, the rows are dealt out over parts
+#: of its shard, each with the shard's filter.  There are HOT_SHARE such keys at most.
 HOT_SHARE = 16384
 #: Partial counts that a task holds before it sends them on.
 HELD_COUNTS = 200_000
@@ -202,10 +202,11 @@ def changed_filters(filters: DataFrame, before: DataFrame, after: DataFrame, sha
     return filters.groupBy("shard").cogroup(moves.groupBy("shard")).applyInArrow(change, "shard int, filter binary")
 
 
-def _hot_keys(refs: DataFrame, pairs: int, min_docs: int) -> dict[bytes, int]:
+def _hot_keys(refs: DataFrame, pairs: int, shards: int, min_docs: int) -> dict[bytes, int]:
     """The number of parts for each key of which a shard would get too many rows; HOT_SHARE keys at most."""
-    bar = max(min_docs, SHARD_ROWS, pairs // HOT_SHARE)
-    return {bytes(r.key): -(-r.n // SHARD_ROWS) for r in refs.where(F.col("n") > bar).select("key", "n").collect()}
+    average = max(1, pairs // shards)
+    bar = max(min_docs, average, pairs // HOT_SHARE)
+    return {bytes(r.key): -(-r.n // average) for r in refs.where(F.col("n") > bar).select("key", "n").collect()}
 
 
 def repeated_keys(docs: DataFrame, refs: DataFrame, filters: DataFrame, shards: int, hot: dict[bytes, int], min_docs: int, id_col: str, text_col: str) -> DataFrame:
@@ -250,7 +251,7 @@ def clean(docs: DataFrame, min_docs: int = MIN_DOCS, id_col: str = "doc_id", tex
         pairs = refs.agg(F.sum("n")).first()[0] or 0
         shards = max(LEAST_SHARDS, -(-pairs // SHARD_ROWS))
         filters = build_filters(refs, shards, min_docs)
-    drops = repeated_keys(docs, refs, filters, shards, _hot_keys(refs, pairs, min_docs), min_docs, id_col, text_col)
+    drops = repeated_keys(docs, refs, filters, shards, _hot_keys(refs, pairs, shards, min_docs), min_docs, id_col, text_col)
     names = docs.columns
     joined = docs.join(drops, F.col(f"`{id_col}`").eqNullSafe(F.col("id")), "left").drop("id")
 

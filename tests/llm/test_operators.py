@@ -84,7 +84,7 @@ def test_lines_of_hot_keys(odd, pairs, monkeypatch):
     """Shards whose rows are dealt out over parts."""
     monkeypatch.setattr(line_dedup, "SHARD_ROWS", 4)
     monkeypatch.setattr(line_dedup, "LEAST_SHARDS", 3)
-    assert line_dedup._hot_keys(line_dedup.reference_counts(odd), 100, 10)
+    assert line_dedup._hot_keys(line_dedup.reference_counts(odd), 100, 25, 10)
     assert sorted((r.doc_id, r.n_lines, r.n_dropped, r.text or "") for r in line_dedup.clean(odd).collect()) == brute.lines(pairs)
 
 
