@@ -30,7 +30,7 @@ LEAST_RATE = 0.01
 #: What the classes are believed to be before any document is seen, and how many documents the belief counts for.
 BELIEF, GOOD_SHARE, CAUGHT, ALARM = 50.0, 0.8, 0.8, 0.02
 
-COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_capitals", "n_shouts", "n_closed", "n_marked", "n_letters", "n_distinct", "n_long")
+COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_capitals", "n_shouts", "n_closed", "n_marked", "n_others", "n_distinct", "n_long")
 BASE = COUNTS[:5]
 RESULT = (*COUNTS, "base_failed", "posterior", "kept")
 
@@ -72,7 +72,7 @@ def counted(docs: DataFrame, text_col: str = "text") -> DataFrame:
             "n_shouts": F.regexp_count(text, F.lit("!")).cast("long"),
             "n_closed": F.size(F.filter("__lines", lambda x: x.rlike(r"[.!?:;\"”»)।॥。！？…؟۔][\x20\x09-\x0D]*$"))).cast("long"),
             "n_marked": F.regexp_count(text, F.lit(r"[#*$%&|<>][^\x20\x09-\x0D]*+")).cast("long"),
-            "n_letters": F.regexp_count(text, F.lit(r"[\p{L}\p{M}\p{N}]")).cast("long"),
+            "n_others": F.regexp_count(text, F.lit(r"[^\p{L}\p{M}\p{N}\x20\x09-\x0D]")).cast("long"),
             "n_distinct": F.size(F.array_distinct("__words")).cast("long"),
             "n_long": F.size(F.filter("__words", lambda w: F.length(w) > 25)).cast("long"),
         }
@@ -93,7 +93,7 @@ def rules() -> dict[str, Column]:
     return {
         "symbols": _vote(per_word("n_symbols") > 0.1, per_word("n_symbols") < 0.02),
         "marked words": _vote(per_word("n_marked") > 0.08, per_word("n_marked") < 0.02),
-        "letters": _vote(per_char("n_letters") < 0.85, per_char("n_letters") > 0.93),
+        "letters": _vote(per_char("n_others") > 0.15, per_char("n_others") < 0.07),
         "repeated lines": _vote((c("n_lines") >= 5) & (per_line("n_dup_lines") > 0.4), per_line("n_dup_lines") <= 0.1),
         "repeated words": _vote(per_word("n_repeat_words") > 0.3, per_word("n_repeat_words") < 0.2),
         "vocabulary": _vote(vocabulary < 3, vocabulary > 6),
