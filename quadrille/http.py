@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import json
+from collections.abc import Iterator
 from dataclasses import asdict
 from http.server import BaseHTTPRequestHandler, ThreadingHTTPServer
+from itertools import islice
 
 from quadrille.errors import EngineError
-from quadrille.render import rendered
+from quadrille.render import pieces
 from quadrille.session import Engine
 
 
@@ -29,10 +31,23 @@ def server(engine: Engine, host: str = "127.0.0.1", port: int = 8000) -> Threadi
                 return self.reply(404, {"error": "not found"})
             try:
                 asked = json.loads(self.rfile.read(int(self.headers.get("Content-Length", 0))))
-                results = [rendered(r) for r in engine.run(asked["sql"])]
+                answer = self.answer(engine.run(asked["sql"]))
+                first = list(islice(answer, 3))  # an error before the first row is still a 400
             except (EngineError, ValueError, KeyError, TypeError) as e:
                 return self.reply(400, {"error": str(e)})
-            return self.reply(200, {"results": results, "stats": asdict(engine.stats)})
+            self.send_response(200)
+            self.send_header("Content-Type", "application/json; charset=utf-8")
+            self.end_headers()  # the connection's end is the answer's end
+            for part in (first, answer):
+                for piece in part:
+                    self.wfile.write(piece.encode())
+
+        def answer(self, results: list) -> Iterator[str]:
+            yield '{"results": ['
+            for k, result in enumerate(results):
+                yield ", " * (k > 0)
+                yield from pieces(result)
+            yield f'], "stats": {json.dumps(asdict(engine.stats))}}}'
 
         def log_message(self, *args) -> None:
             pass

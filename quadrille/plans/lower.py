@@ -37,7 +37,7 @@ class Scope:
 
 
 def lower(catalog: Catalog, query: Select) -> DataFrame:
-    """The DataFrame of a SELECT.  Rows keep their order of insertion where nothing else orders them."""
+    """The DataFrame of a SELECT.  Rows are in an order only where it is asked for; equal keys then keep their order of insertion."""
     specs, rows = [catalog.spec(query.table)], catalog.read(query.table)
     tie = [RID]
     if query.join:
@@ -70,10 +70,6 @@ def lower(catalog: Catalog, query: Select) -> DataFrame:
         return op.count_rows(rows)
     if query.order:
         rows = op.order_rows(rows, scope.named(query.order)[0], query.descending, tie)
-    elif isinstance(query.where, Nearest):
-        pass  # by distance already
-    else:
-        rows = rows.orderBy(*[op.named(rows, t) for t in tie])
     if query.columns:
         columns = [scope.named(r)[0] for r in query.columns]
     return op.project(rows, columns)

@@ -11,6 +11,7 @@ from __future__ import annotations
 import json
 import logging
 import threading
+import time
 import uuid
 from collections.abc import Callable
 
@@ -27,6 +28,12 @@ from quadrille.types import RID, TableSpec
 log = logging.getLogger(__name__)
 
 
+#: Parts of single rows that are merged into one, and deletions after which a table is rewritten without them.
+MOST_SMALL, MOST_DELETIONS = 64, 256
+#: Seconds after which the claim of a writer that has ended between claiming and publishing is void.
+CLAIM_SECONDS = 600
+
+
 class Catalog:
     """Tables below a folder, which can be in any store that Spark reaches."""
 
@@ -64,16 +71,25 @@ class Catalog:
 
     def _publish(self, table: str, manifest: dict) -> None:
         version = manifest["version"]
-        final, draft = self._path(table, f"manifest-{version}.json"), self._path(table, f".draft-{uuid.uuid4().hex}")
+        final, draft, claim = (self._path(table, n) for n in (f"manifest-{version}.json", f".draft-{uuid.uuid4().hex}", f".claim-{version}"))
         fs = self._fs(draft)
         stream = fs.create(draft)
         stream.write(bytearray(json.dumps(manifest).encode()))
         stream.close()
-        if fs.exists(final) or not fs.rename(draft, final):
+        # Of several writers of a version, in whatever process, one makes the claim; only that one publishes.
+        if fs.exists(final) or not self._claimed(fs, claim) or fs.exists(final) or not fs.rename(draft, final):
             fs.delete(draft, False)
             raise EngineError(f"table '{table}' was changed by another writer; try again")
         log.info("table %s is at version %d: %d parts, %d deletions", table, version, len(manifest["parts"]), len(manifest["deleted"]))
 
+    def _claimed(self, fs, claim) -> bool:
+        """Create a file that isn't there yet, atomically as far as the store can."""
+        if fs.exists(claim) and time.time() - fs.getFileStatus(claim).getModificationTime() / 1000 > CLAIM_SECONDS:
+            fs.delete(claim, False)
+        if fs.getUri().getScheme() == "file":
+            return self.spark._jvm.java.io.File(claim.toUri().getPath()).createNewFile()
+        return fs.createNewFile(claim)
+
     def _write(self, spec: TableSpec, rows: DataFrame) -> str:
         part = f"part-{uuid.uuid4().hex}"
         keys: list[Column] = []
@@ -164,7 +180,11 @@ class Catalog:
             rid = manifest["next_rid"]
             row = self.spark.range(1).select(*[v.cast(spec.schema[c.name].dataType).alias(c.name) for c, v in zip(spec.columns, cells, strict=True)], F.lit(rid).cast("long").alias(RID))
             part = self._write(spec, row)
-            self._publish(spec.name, manifest | {"version": manifest["version"] + 1, "parts": [*manifest["parts"], part], "next_rid": rid + 1})
+            parts, single = [*manifest["parts"], part], [*manifest.get("small", []), part]
+            if len(single) >= MOST_SMALL:
+                merged = self._write(spec, self._read(manifest | {"parts": single, "deleted": []}).coalesce(1))
+                parts, single = [*[p for p in parts if p not in single], merged], []
+            self._publish(spec.name, manifest | {"version": manifest["version"] + 1, "parts": parts, "small": single, "next_rid": rid + 1})
             return rid
 
     def delete_equal(self, table: str, column: str, kind: str, value: object) -> int:
@@ -177,6 +197,8 @@ class Catalog:
             if gone:
                 condition = {"column": column, "kind": kind, "value": list(value) if isinstance(value, tuple) else value, "before": manifest["next_rid"]}
                 self._publish(spec.name, manifest | {"version": manifest["version"] + 1, "deleted": [*manifest["deleted"], condition]})
+                if len(manifest["deleted"]) + 1 >= MOST_DELETIONS:
+                    self.compact(table)
             return gone
 
     def compact(self, table: str) -> None:
@@ -188,7 +210,7 @@ class Catalog:
             manifest = self._manifest(table)
             spec = TableSpec.from_json(manifest["spec"])
             part = self._write(spec, change(self._read(manifest)))
-            self._publish(spec.name, manifest | {"version": manifest["version"] + 1, "parts": [part], "deleted": []})
+            self._publish(spec.name, manifest | {"version": manifest["version"] + 1, "parts": [part], "small": [], "deleted": []})
 
     def read_row(self, table: str, rid: int) -> DataFrame:
         rows = self.read(table).where(F.col(RID) == rid)

@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -29,10 +29,11 @@ class LoadReport:
 def staged(spark: SparkSession, spec: TableSpec, path: str, delimiter: str = ";") -> DataFrame:
     """The converted columns, RID in the order of the file, and __why: what is wrong with the row, or null.
 
-    Rows whose cells are all blank are left out.  Cells beyond the header are ignored, missing ones are null, and a
-    column that the file lacks is blank.
+    Cells may stand in double quotes, in which a quote is doubled and delimiters and line ends are text.  A file that has
+    line ends in quotes can't be split between tasks; any other is.  Rows whose cells are all blank are left out.  Cells
+    beyond the header are ignored, missing ones are null, and a column that the file lacks is blank.
     """
-    options = {"sep": delimiter, "header": True, "mode": "PERMISSIVE", "encoding": "UTF-8"}
+    options = {"sep": delimiter, "header": True, "mode": "PERMISSIVE", "encoding": "UTF-8", "escape": '"', "multiLine": _open_quotes(spark, path)}
     try:
         headers = spark.read.csv(path, inferSchema=False, **options).columns
     except Exception as e:
@@ -40,7 +41,9 @@ def staged(spark: SparkSession, spec: TableSpec, path: str, delimiter: str = ";"
     schema = T.StructType([T.StructField(c, T.StringType()) for c in [*headers, "__odd"]])
     raw = spark.read.csv(path, schema=schema, columnNameOfCorruptRecord="__odd", **options)
     # The reader gives null for blank cells and for missing ones; a row with too few cells is kept in __odd.
-    short = F.coalesce(F.size(F.split("__odd", re.escape(delimiter), -1)) < len(headers), F.lit(False)) & F.col("__odd").isNotNull()
+    sep = re.escape(delimiter)
+    bare = F.regexp_replace("__odd", rf'(^|{sep})"(?:[^"]|"")*+"', "$1")
+    short = F.coalesce(F.size(F.split(bare, sep, -1)) < len(headers), F.lit(False)) & F.col("__odd").isNotNull()
     cells = [f"`{c}`" for c in headers]
     raw = raw.select(*[F.when(~short, F.coalesce(F.col(c), F.lit(""))).otherwise(F.col(c)).alias(h) for c, h in zip(cells, headers, strict=True)])
     raw = raw.withColumn(RID, F.monotonically_increasing_id())
@@ -64,6 +67,14 @@ def staged(spark: SparkSession, spec: TableSpec, path: str, delimiter: str = ";"
     return raw.select(*values, F.col(RID), F.coalesce(*wrong, F.lit(None).cast("string")).alias("__why"))
 
 
+def _open_quotes(spark: SparkSession, path: str) -> bool:
+    """Whether some line holds an odd number of quotes, so that cells may go on in the next line."""
+    try:
+        return not spark.read.text(path).where(F.regexp_count("value", F.lit('"')) % 2 == 1).isEmpty()
+    except Exception as e:
+        raise EngineError(f"can't read '{path}': {str(e).splitlines()[0]}") from e
+
+
 def _from_pairs(headers: list[str]) -> Column:
     by = {}
     for h in headers:
@@ -83,11 +94,13 @@ def load(spark: SparkSession, spec: TableSpec, path: str, delimiter: str = ";",
     Of rows with the same primary key the first stays.  ``max_rows`` is a parameter of the load: so many good rows stay.
     """
     rows = staged(spark, spec, path, delimiter)
-    if key := spec.primary:
-        first = Window.partitionBy(f"`{key.name}`", F.col("__why").isNull()).orderBy(RID)
-        again = F.col("__why").isNull() & (F.row_number().over(first) > 1)
-        rows = rows.withColumn("__why", F.when(again, F.concat(F.lit(f"primary key '{key.name}' repeats "), F.col(f"`{key.name}`").cast("string"))).otherwise(F.col("__why")))
     good, bad = rows.where("__why IS NULL").drop("__why"), rows.where("__why IS NOT NULL").select(RID, "__why")
+    if key := spec.primary:
+        # The first row of each key is found by a minimum with partial sums, so a key in very many rows isn't gathered.
+        firsts = good.groupBy(F.col(f"`{key.name}`").alias("__key")).agg(F.min(RID).alias("__first"))
+        is_first = good[RID] == F.col("__first")
+        again = good.join(firsts, is_first, "left_anti").select(RID, F.concat(F.lit(f"primary key '{key.name}' repeats "), F.col(f"`{key.name}`").cast("string")).alias("__why"))
+        good, bad = good.join(firsts, is_first, "left_semi"), bad.unionByName(again)
     if max_rows is not None:
         good = good.orderBy(RID).limit(max_rows)
         last = good.agg(F.max(RID)).first()[0]
