@@ -4,7 +4,7 @@ A document's ids are cut into full sequences and a remainder.  The lengths of th
 (``step`` tokens a bin, rounded up).  A linear program over patterns, each of which says how many pieces of each bin
 share a sequence, is solved by column generation: a knapsack dynamic program over the program's dual prices finds the
 next pattern.  The solution is rounded down, the few pieces left over are packed best-fit, and pieces are assigned to
-patterns by their rank in their bin.  The histogram, and so the program, is bounded by the sequence length, whatever
+patterns by their rank in their bin; pieces that fill a sequence need no rank and get one each.  The histogram, and so the program, is bounded by the sequence length, whatever
 the corpus.
 
 Defined cases: a null or empty text is the end id alone.  Rows with the same doc_id are packed as documents of their
@@ -23,12 +23,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quadrille.llm.common import materialise, short_batches
+from quadrille.llm.common import materialise, short_batches, small
 from quadrille.llm.tokens import encoder
 
 CAPACITY, STEP, END_ID = 4096, 16, 2
-#: Parts of each bin that are ranked apart.
-SALTS = 256
+#: Pieces of a bin that are ranked together, about: a bin is dealt out over as many parts as it takes.
+RANKED_ROWS = 100_000
 
 
 def pieces(docs: DataFrame, tokenizer_json: str, capacity: int = CAPACITY, end_id: int = END_ID, by_chunk: bool = True, keep_ids: bool = True, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -166,27 +166,30 @@ def assign(cut: DataFrame, capacity: int = CAPACITY, step: int = STEP) -> DataFr
     """The rows of a written table of pieces with sequence_id and offset."""
     spark = cut.sparkSession
     binned = cut.withColumn("__bin", F.ceil(F.col("length") / step).cast("long"))
-    demand = {r[0]: r[1] for r in binned.groupBy("__bin").agg(F.count(F.lit(1)).alias("n")).collect()}
+    room = -(-capacity // step)
+    demand = {r[0]: r[1] for r in binned.where(F.col("__bin") < room).groupBy("__bin").agg(F.count(F.lit(1)).alias("n")).collect()}
     intervals: dict[int, list[tuple[int, int, int, int]]] = {b: [] for b in demand}
     done, sequences = Counter(), 0
-    for pattern, copies in cutting_stock(demand, -(-capacity // step)):
+    for pattern, copies in cutting_stock(demand, room):
         for b, per_copy in pattern.items():
             intervals[b].append((done[b], done[b] + per_copy * copies, per_copy, sequences))
             done[b] += per_copy * copies
         sequences += copies
-    shape = "__bin long, __spans array<struct<low:long,high:long,each:long,first:long>>"
-    table = spark.createDataFrame(list(intervals.items()), shape)
-    salted = binned.withColumn("__salt", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), F.lit(SALTS)))
+    shape = "__bin long, __salts long, __spans array<struct<low:long,high:long,each:long,first:long>>"
+    # As many rows as bins, which the sequence length bounds.
+    table = F.broadcast(spark.createDataFrame([(b, -(-n // RANKED_ROWS), intervals[b]) for b, n in demand.items()], shape))
+    alone = binned.where(F.col("__bin") >= room).select(*cut.columns, (F.lit(sequences) + F.monotonically_increasing_id()).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
+    known = binned.where(F.col("__bin") < room).join(table, "__bin")
+    salted = known.withColumn("__salt", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), F.col("__salts")))
     counts = salted.groupBy("__bin", "__salt").agg(F.count(F.lit(1)).alias("n"))
     before = counts.select("__bin", "__salt", (F.sum("n").over(Window.partitionBy("__bin").orderBy("__salt")) - F.col("n")).alias("__before"))
     ranked = salted.withColumn("__row", F.row_number().over(Window.partitionBy("__bin", "__salt").orderBy("doc_id", "start", "ids_crc32")))
-    # Both tables are bounded by the sequence length: bins, and bins times SALTS.
-    joined = ranked.join(F.broadcast(before), ["__bin", "__salt"]).join(F.broadcast(table), "__bin")
+    joined = ranked.join(small(materialise(before, "salts")), ["__bin", "__salt"])
     joined = joined.withColumn("__rank", F.col("__before") + F.col("__row") - 1)
     joined = joined.withColumn("__span", F.filter("__spans", lambda x: (x.low <= F.col("__rank")) & (F.col("__rank") < x.high))[0])
     placed = joined.withColumn("sequence_id", F.col("__span.first") + F.floor((F.col("__rank") - F.col("__span.low")) / F.col("__span.each")))
     inside = Window.partitionBy("sequence_id").orderBy(F.desc("__bin"), "__rank")
-    return placed.withColumn("offset", F.sum("length").over(inside) - F.col("length")).select(*cut.columns, "sequence_id", "offset")
+    return placed.withColumn("offset", F.sum("length").over(inside) - F.col("length")).select(*cut.columns, "sequence_id", "offset").unionByName(alone)
 
 
 def pack(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, step: int = STEP, end_id: int = END_ID, by_chunk: bool = True, keep_ids: bool = True, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
