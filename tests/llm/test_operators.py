@@ -548,3 +548,33 @@ def test_query_matches_sql(spark, name):
     cols = sorted(got.columns)
     assert sorted(want.columns) == cols
     assert sorted(repr(tuple(r[c] for c in cols)) for r in got.collect()) == sorted(map(repr, want.project(", ".join(f'"{c}"' for c in cols)).fetchall()))
+
+
+def test_clashing_columns(spark):
+    """Columns with the names that operators use are ignored, or carried as they were."""
+    names = ["n_words", "labels", "spans", "component_id", "n_shingles", "sequence_id", "length", "id", "node", "group", "low", "words", "kept", "start"]
+    base = "one two three four five six seven"
+    docs = spark.createDataFrame([(k, t, *["mine"] * len(names)) for k, t in enumerate([base, base, None, "MIT License a@b.co"])], "doc_id long, text string, " + ", ".join(f"{n} string" for n in names))
+    assert {r.doc_id: r.component_id for r in ngram_join.components(docs).collect()} == {0: 0, 1: 0, 2: 2, 3: 3}
+    stay = ngram_join.drop_near_duplicates(docs)
+    assert stay.columns == docs.columns and sorted(r.doc_id for r in stay.collect()) == [0, 2, 3]
+    assert {r.doc_id: r.n_email for r in pii.report(docs).collect()}[3] == 1 and {r.doc_id: r.labels for r in licenses.scan(docs).collect()}[3] == "mit"
+    assert quality.assess(docs).where("base_failed").count() == 4 and quality.keep(docs).count() == 0
+    assert packing.pack(docs, tokenizer_path()).groupBy().agg(F.sum("length")).first()[0] > 4 and lengths.histogram(docs, tokenizer_path()).agg(F.sum("n_docs")).first()[0] == 4
+    pages = spark.createDataFrame([(1, "http://org/es/", "x", "y"), (1, "http://org/es/", "x", "y"), (2, None, "x", "y")], "page_id long, url string, host string, verdict string")
+    got = url_filters.judge(pages, URL_RULES, spark.createDataFrame([], "url string, bad int")).collect()
+    assert sorted((r.page_id, r.host, r.verdict) for r in got) == [(1, "org", "block"), (1, "org", "block"), (2, "", "allow")]
+
+
+def test_pipeline_of_odd_tables(spark, empty, tmp_path):
+    """An empty table; nulls, repeated rows and columns with the names that stages use."""
+    assert all(stage(spark, empty, "").count() == 0 for _, stage in corpus_pipeline.STAGES)
+    r = random.Random(6)
+    texts = [None, "", clean_text(r), clean_text(r)]
+    held = spark.createDataFrame([(k, t, "en", None, 0, "mine", "mine", 5) for k, t in enumerate([*texts, texts[2]])], SCHEMA + ", kept string, copies string, sequence_id int")
+    names = held.columns
+    for k, (_, stage) in enumerate(corpus_pipeline.STAGES[:4]):
+        stage(spark, held, "").write.parquet(str(tmp_path / str(k)))
+        held = spark.read.parquet(str(tmp_path / str(k)))
+        assert held.columns == names and {(x.kept, x.copies, x.sequence_id) for x in held.collect()} <= {("mine", "mine", 5)}
+        assert {x.doc_id for x in held.collect()} <= {2, 3, 4} and (k == 0 or {x.doc_id for x in held.collect()} <= {2, 3})
