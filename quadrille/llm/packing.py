@@ -28,7 +28,7 @@ from quadrille.llm.tokens import encoder
 
 CAPACITY, STEP, END_ID = 4096, 16, 2
 #: Pieces of a bin that are ranked together, about: a bin is dealt out over as many parts as it takes.
-RANKED_ROWS = 100_000
+RANKED_ROWS = 1000
 
 
 def pieces(docs: DataFrame, tokenizer_json: str, capacity: int = CAPACITY, end_id: int = END_ID, by_chunk: bool = True, keep_ids: bool = True, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
