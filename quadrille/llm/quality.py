@@ -30,6 +30,9 @@ LEAST_RATE = 0.01
 #: What the classes are believed to be before any document is seen, and how many documents the belief counts for.
 BELIEF, GOOD_SHARE, CAUGHT, ALARM = 50.0, 0.8, 0.8, 0.02
 
+#: A line that ends with one of these is closed.
+CLOSING = ".!?:;\"”»)।॥。！？…؟۔"
+
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_capitals", "n_shouts", "n_closed", "n_marked", "n_others", "n_distinct", "n_long")
 BASE = COUNTS[:5]
 RESULT = (*COUNTS, "base_failed", "posterior", "kept")
@@ -44,10 +47,13 @@ def counted(docs: DataFrame, text_col: str = "text") -> DataFrame:
     lines = F.filter(F.split(text, "\n", -1), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
     split = docs.withColumn("__words", F.regexp_extract_all(text, F.lit(WORD), F.lit(0))).withColumn("__lines", lines)
     word = lambda i: F.get(F.col("__words"), i)
+    every = F.sequence(F.lit(0), F.size("__words") - 3)
+    # Numbers are cheap to compare: a text whose windows all have hashes of their own repeats none.
+    alone = F.transform(every, lambda i: F.xxhash64(word(i), word(i + 1), word(i + 2)))
     windows = F.when(
-        F.size("__words") >= 3,
+        (F.size("__words") >= 4) & (F.size(F.array_distinct(alone)) < F.size("__words") - 2),
         F.transform(
-            F.sequence(F.lit(0), F.size("__words") - 3),
+            every,
             lambda i: F.struct(F.xxhash64(word(i), word(i + 1), word(i + 2)).alias("a"), F.hash(word(i + 2), word(i), word(i + 1)).alias("b"), i.alias("at")),
         ),
     ).otherwise(F.array().cast("array<struct<a:bigint,b:int,at:int>>"))
@@ -70,7 +76,7 @@ def counted(docs: DataFrame, text_col: str = "text") -> DataFrame:
             "n_lines": F.size("__lines").cast("long"),
             "n_capitals": F.regexp_count(text, F.lit("[A-Z]")).cast("long"),
             "n_shouts": F.regexp_count(text, F.lit("!")).cast("long"),
-            "n_closed": F.size(F.filter("__lines", lambda x: x.rlike(r"[.!?:;\"”»)।॥。！？…؟۔][\x20\x09-\x0D]*$"))).cast("long"),
+            "n_closed": F.size(F.filter("__lines", lambda x: F.instr(F.lit(CLOSING), F.right(F.rtrim(x, F.lit(" \t\n\x0b\f\r")), F.lit(1))) > 0)).cast("long"),
             "n_marked": F.regexp_count(text, F.lit(r"[#*$%&|<>][^\x20\x09-\x0D]*+")).cast("long"),
             "n_others": F.regexp_count(text, F.lit(r"[^\p{L}\p{M}\p{N}\x20\x09-\x0D]")).cast("long"),
             "n_distinct": F.size(F.array_distinct("__words")).cast("long"),
