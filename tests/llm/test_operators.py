@@ -578,3 +578,10 @@ def test_pipeline_of_odd_tables(spark, empty, tmp_path):
         held = spark.read.parquet(str(tmp_path / str(k)))
         assert held.columns == names and {(x.kept, x.copies, x.sequence_id) for x in held.collect()} <= {("mine", "mine", 5)}
         assert {x.doc_id for x in held.collect()} <= {2, 3, 4} and (k == 0 or {x.doc_id for x in held.collect()} <= {2, 3})
+
+
+def test_closed_lines_and_repeated_windows(spark):
+    texts = ["one.\ntwo. \t\r\nthree\n\n \n«four»", "पाँच।\nsix…\nseven,", "a b c", "a b c d", "x x x x", "a b c q a b c", "", None]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = {r.doc_id: (r.n_lines, r.n_closed, r.n_repeat_words) for r in quality.counted(docs).collect()}
+    assert found == {0: (4, 3, 0), 1: (3, 2, 0), 2: (1, 0, 0), 3: (1, 0, 0), 4: (1, 0, 4), 5: (1, 0, 6), 6: (0, 0, 0), 7: (0, 0, 0)}
