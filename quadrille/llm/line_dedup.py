@@ -253,12 +253,13 @@ def clean(docs: DataFrame, min_docs: int = MIN_DOCS, id_col: str = "doc_id", tex
         filters = build_filters(refs, shards, min_docs)
     drops = repeated_keys(docs, refs, filters, shards, _hot_keys(refs, pairs, shards, min_docs), min_docs, id_col, text_col)
     names = docs.columns
-    joined = docs.join(drops, F.col(f"`{id_col}`").eqNullSafe(F.col("id")), "left").drop("id")
+    drops = drops.select(F.col("id").alias("__dropped_from"), F.col("keys").alias("__dropped"))
+    joined = docs.join(drops, F.col(f"`{id_col}`").eqNullSafe(F.col("__dropped_from")), "left").drop("__dropped_from")
 
     def drop(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in short_batches(batches):
             kept, n_lines, n_dropped = [], [], []
-            for text, keys in zip(_texts(batch, text_col), batch.column("keys").to_pylist(), strict=True):
+            for text, keys in zip(_texts(batch, text_col), batch.column("__dropped").to_pylist(), strict=True):
                 gone = set(keys or ())
                 lines = text.split(b"\n")
                 stay = [x for x in lines if line_key(x) not in gone]
