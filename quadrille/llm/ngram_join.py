@@ -209,11 +209,8 @@ def _tie_tasks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(members), pa.array(hubs)], ["node", "hub"])
 
 
-def _link(sets: list[np.ndarray], part: np.ndarray, side: np.ndarray | None, percent: int) -> list[tuple[int, int]]:
-    """Pairs of places whose sets are linked, enough to join all parts that any pair links.
-
-    part: sets with the same number are linked already.  side: 0 or 1; pairs are compared across sides only, if given.
-    """
+def _mapped(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The places of the sets by size, their sizes and their hashed bitmaps."""
     n = np.array([len(s) for s in sets])
     order = np.argsort(n, kind="stable")
     n = n[order]
@@ -223,6 +220,23 @@ def _link(sets: list[np.ndarray], part: np.ndarray, side: np.ndarray | None, per
     for k, at in enumerate(order):
         low = sets[at] % np.uint64(bits)
         np.bitwise_or.at(maps[k], (low >> np.uint64(6)).astype(np.int64), np.uint64(1) << (low & np.uint64(63)))
+    return order, n, maps
+
+
+def _within_bound(n: np.ndarray, maps: np.ndarray, k: int, near: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Those of ``near`` that share enough with set k as far as their bitmaps tell, and the least overlap of partners."""
+    need = -(-(n[near] + n[k]) * percent // (100 + percent))
+    mine, theirs = maps[k], maps[near]
+    most = np.minimum(n[k] - np.bitwise_count(mine & ~theirs).sum(1, dtype=np.int64), n[near] - np.bitwise_count(theirs & ~mine).sum(1, dtype=np.int64))
+    return near[most >= need], need[most >= need]
+
+
+def _link(sets: list[np.ndarray], part: np.ndarray, side: np.ndarray | None, percent: int) -> list[tuple[int, int]]:
+    """Pairs of places whose sets are linked, enough to join all parts that any pair links.
+
+    part: sets with the same number are linked already.  side: 0 or 1; pairs are compared across sides only, if given.
+    """
+    order, n, maps = _mapped(sets)
     part = part[order].copy()
     across = None if side is None else side[order]
     links = []
@@ -236,10 +250,7 @@ def _link(sets: list[np.ndarray], part: np.ndarray, side: np.ndarray | None, per
             near = near[across[near] != across[k]]
         if not len(near):
             continue
-        need = -(-(n[near] + n[k]) * percent // (100 + percent))  # the least overlap of partners
-        mine, theirs = maps[k], maps[near]
-        most = np.minimum(n[k] - np.bitwise_count(mine & ~theirs).sum(1, dtype=np.int64), n[near] - np.bitwise_count(theirs & ~mine).sum(1, dtype=np.int64))
-        for other, least in zip(near[most >= need], need[most >= need], strict=True):
+        for other, least in zip(*_within_bound(n, maps, k, near, percent), strict=True):
             if part[other] == part[k]:
                 continue
             both = len(np.intersect1d(sets[order[k]], sets[order[other]], assume_unique=True))
@@ -249,6 +260,34 @@ def _link(sets: list[np.ndarray], part: np.ndarray, side: np.ndarray | None, per
     return links
 
 
+def _count_links(sets: list[np.ndarray], rows: np.ndarray, side: np.ndarray | None, percent: int) -> np.ndarray:
+    """For each set the rows of all sets that it is linked with, across sides only, if given."""
+    order, n, maps = _mapped(sets)
+    rows = rows[order]
+    across = None if side is None else side[order]
+    # Each set as the sorted ranks of its elements, so that a set is intersected with many at once.
+    elements, ranks = np.unique(np.concatenate([sets[at] for at in order]), return_inverse=True)
+    ranks = np.split(ranks, np.cumsum(n)[:-1])
+    mine = np.zeros(len(elements), bool)
+    found = np.zeros(len(order), np.int64)
+    for k in range(1, len(order)):
+        near = np.arange(int(np.searchsorted(n, -(-n[k] * percent // 100))), k)
+        if across is not None:
+            near = near[across[near] != across[k]]
+        near, need = _within_bound(n, maps, k, near, percent)
+        if not len(near):
+            continue
+        mine[ranks[k]] = True
+        both = np.add.reduceat(mine[np.concatenate([ranks[x] for x in near])], np.cumsum(n[near]) - n[near], dtype=np.int64)
+        mine[ranks[k]] = False
+        linked = near[(both >= need) & (100 * both >= percent * (n[k] + n[near] - both))]
+        found[k] += rows[linked].sum()
+        found[linked] += rows[k]
+    out = np.empty(len(order), np.int64)
+    out[order] = found
+    return out
+
+
 def _tile(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
     """Links between the groups of a tile; the sides of a tile between two blocks differ, those inside a block are null."""
     group, side = table["group"].to_numpy(), table["side"]
@@ -257,22 +296,37 @@ def _tile(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
     return pa.table({"a": pa.array([group[x] for x, _ in links], pa.int64()), "b": pa.array([group[y] for _, y in links], pa.int64())})
 
 
-def _linked_in_tiles(docs: DataFrame, tiles: DataFrame, seed: int) -> DataFrame:
-    """Links a, b between groups, of a written table node, id, group, tiles (array of tile and side).  The sets are made from the texts again."""
+def _count_tile(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+    """The rows that each set of a tile is linked with in it."""
+    table = table.take(pa.array(np.unique(table["group"].to_numpy(), return_index=True)[1]))  # rows with one doc_id and one set bring it twice
+    side = table["side"]
+    sets = [np.frombuffer(x, np.uint64) for x in table["elements"].to_pylist()]
+    links = _count_links(sets, table["rows"].to_numpy(), None if side.null_count else side.to_numpy(), PERCENT)
+    return pa.table({"group": table["group"], "links": pa.array(links)}).filter(pa.array(links > 0))
+
+
+def _in_tiles(docs: DataFrame, tiles: DataFrame, seed: int) -> DataFrame:
+    """The sets of each tile, made from the texts again, of a written table node, id, tiles (array of tile and side) and other numbers."""
+    carried = [c for c in tiles.columns if c not in ("node", "id", "tiles")]
 
     def again(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in short_batches(batches):
             elements = [shingle_hashes(t or b"", seed) for t in batch.column("text").cast(pa.binary()).to_pylist()]
             own = np.array([int.from_bytes(blake2b(x.tobytes(), digest_size=16).digest()[:8], "little", signed=True) for x in elements], np.int64)
             good = pa.array(own == batch.column("node").to_numpy())  # of rows that share a doc_id, the one with this set
-            yield pa.RecordBatch.from_arrays([batch.column("group"), batch.column("tiles"), pa.array([x.tobytes() for x in elements], pa.binary())], ["group", "tiles", "elements"]).filter(good)
+            columns = [*[batch.column(c) for c in carried], batch.column("tiles"), pa.array([x.tobytes() for x in elements], pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, [*carried, "tiles", "elements"]).filter(good)
 
     texts = docs.select(F.col("doc_id").alias("id"), "text")
     places = tiles.agg(F.sum(F.size("tiles"))).first()[0] or 0
-    joined = texts.join(F.broadcast(tiles) if places <= BROADCAST_ROWS else tiles, "id").select("text", "node", "group", "tiles")
-    held = joined.mapInArrow(again, "group long, tiles array<struct<tile:string,side:int>>, elements binary")
-    rows = held.select("group", "elements", F.explode("tiles").alias("t")).select("group", "elements", "t.tile", "t.side")
-    return rows.groupBy("tile").applyInArrow(_tile, "a long, b long").distinct()
+    joined = texts.join(F.broadcast(tiles) if places <= BROADCAST_ROWS else tiles, "id").select("text", "node", *carried, "tiles")
+    held = joined.mapInArrow(again, "".join(f"{c} long, " for c in carried) + "tiles array<struct<tile:string,side:int>>, elements binary")
+    return held.select(*carried, "elements", F.explode("tiles").alias("t")).select(*carried, "elements", "t.tile", "t.side")
+
+
+def _linked_in_tiles(docs: DataFrame, tiles: DataFrame, seed: int) -> DataFrame:
+    """Links a, b between groups, of a written table node, id, group, tiles."""
+    return _in_tiles(docs, tiles, seed).groupBy("tile").applyInArrow(_tile, "a long, b long").distinct()
 
 
 def _ties_of(found: DataFrame) -> DataFrame:
@@ -320,9 +374,27 @@ def _family_tiles(ties: DataFrame, nodes: DataFrame) -> DataFrame:
     main = families.groupBy("family").agg(F.max(F.struct("sets", "group")).alias("x")).select("family", F.col("x.group").alias("main"))
     families = materialise(families.join(main, "family"), "families")
     held = look_up(nodes, "group", families, "sets", total, "node").where("family IS NOT NULL")
-    # Sizes s and s * 100 / PERCENT are in one band or in neighbouring ones; a class is a band of the main group or of the others.
-    band = F.floor(F.log(F.col("n").cast("double")) / math.log(100 / PERCENT) + 1e-9)
-    held = materialise(held.select("node", "id", "n", "group", "family", (2 * band + (F.col("group") == F.col("main")).cast("long")).alias("class")), "families")
+    # A class is a band of the main group or of the others.
+    held = materialise(held.select("node", "id", "n", "group", "family", (2 * _band() + (F.col("group") == F.col("main")).cast("long")).alias("class")), "families")
+    return _banded_tiles(held, total).select("node", "id", "group", "tiles")
+
+
+def _component_tiles(nodes: DataFrame) -> DataFrame:
+    """Tiles in which all sets of a component meet that can be partners, as node, id, group, rows, tiles; every node is a group."""
+    total = nodes.count()
+    sizes = materialise(nodes.groupBy("group").agg(F.count(F.lit(1)).alias("sets")).where("sets > 1"), "sizes")
+    held = look_up(nodes, "group", sizes, "sets", total, "node").where("sets IS NOT NULL")
+    held = materialise(held.select("node", "id", "n", "rows", F.col("group").alias("family"), (2 * _band()).alias("class")), "families")
+    return _banded_tiles(held, total).select("node", "id", F.col("node").alias("group"), "rows", "tiles")
+
+
+def _band():
+    """Sizes s and s * 100 / PERCENT are in one band or in neighbouring ones."""
+    return F.floor(F.log(F.col("n").cast("double")) / math.log(100 / PERCENT) + 1e-9)
+
+
+def _banded_tiles(held: DataFrame, total: int) -> DataFrame:
+    """A written table of nodes with family and class, with their tiles.  Two blocks of odd class aren't paired.  total: at least its rows."""
     classes = held.groupBy("family", "class").agg(F.count(F.lit(1)).alias("sets"), F.sum("n").alias("elements"))
     plan = classes.groupBy("family").agg(
         F.map_from_entries(F.collect_list(F.struct("class", _blocks(F.col("sets"), F.col("elements"))))).alias("blocks"),  # as many as bands, twice
@@ -347,7 +419,7 @@ def _family_tiles(ties: DataFrame, nodes: DataFrame) -> DataFrame:
     start = 2 * F.floor(F.col("class") / 2) - 2
     partners = F.flatten(F.transform(F.sequence(start, start + 5), with_class))
     alone = F.array(F.struct(F.col("family").cast("string").alias("tile"), F.lit(None).cast("int").alias("side")))
-    return own.select("node", "id", "group", F.when(F.col("whole"), alone).otherwise(F.transform(partners, tile)).alias("tiles"))
+    return own.withColumn("tiles", F.when(F.col("whole"), alone).otherwise(F.transform(partners, tile)))
 
 
 def _grouped(nodes: DataFrame, labels: DataFrame, by: str = "node") -> DataFrame:
@@ -369,8 +441,13 @@ def _groups(docs: DataFrame, found: DataFrame, seed: int) -> DataFrame:
     return look_up(nodes, "group", final, "sets", nodes.count(), "node").select("node", "id", "n", "rows", F.coalesce("label", "group").alias("group"))
 
 
-def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per row: doc_id, n_shingles, component_id."""
+def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", count_links: bool = False) -> DataFrame:
+    """Per row: doc_id, n_shingles, component_id; with ``count_links`` also n_links, the number of other rows linked with it.
+
+    A component alone says how its rows hang together, and takes few comparisons.  To count links, all sets of a component
+    that their sizes and bitmaps don't tell apart are intersected, in tiles of bounded size, the number of which grows with
+    the square of the number of different sets in the component.  Tiles return counts, not pairs.
+    """
     docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     seed = 0
     while True:
@@ -383,12 +460,22 @@ def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     least = nodes.groupBy("group").agg(F.min("id").alias("component"), F.sum("rows").alias("all"), F.count(F.lit(1)).alias("sets")).where("all > 1")
     # Nodes alone in their component, with one row, need no look-up.
     held = look_up(nodes, "group", materialise(least, "components"), "sets", nodes.count(), "node").where("all > 1")
-    table = materialise(held.select(F.col("node").alias("key"), "rows", "component"), "components")
+    if count_links:
+        tiles = materialise(_component_tiles(nodes), "tiles")
+        counts = _in_tiles(docs, tiles, seed).groupBy("tile").applyInArrow(_count_tile, "group long, links long")
+        counts = materialise(counts.groupBy(F.col("group").alias("node")).agg(F.sum("links").alias("links")), "counts")
+        held = held.join(counts, "node", "left")
+    else:
+        held = held.withColumn("links", F.lit(0).cast("long"))
+    links = (F.col("rows") - 1 + F.coalesce("links", F.lit(0))).alias("links")
+    table = materialise(held.select(F.col("node").alias("key"), "rows", "component", links), "components")
     total = found.count()
     keyed = found.select("id", "n", F.when(F.col("n") > 0, F.col("node")).alias("key"))
     joined = look_up(keyed.where("n > 0"), "key", table, "rows", total, "id")
-    out = joined.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.when(F.col("rows").isNull(), F.col("id")).otherwise(F.col("component")).alias("component_id"))
-    return out.unionByName(keyed.where("n = 0").select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.col("id").alias("component_id")))
+    named = [F.col("id").alias("doc_id"), F.col("n").alias("n_shingles")]
+    out = joined.select(*named, F.when(F.col("rows").isNull(), F.col("id")).otherwise(F.col("component")).alias("component_id"), F.coalesce("links", F.lit(0)).cast("long").alias("n_links"))
+    out = out.unionByName(keyed.where("n = 0").select(*named, F.col("id").alias("component_id"), F.lit(0).cast("long").alias("n_links")))
+    return out if count_links else out.drop("n_links")
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

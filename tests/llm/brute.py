@@ -88,6 +88,17 @@ def near(docs):
     return [(i, len(sets[k]), least[find(k)]) for k, (i, _) in enumerate(docs)]
 
 
+def links(docs):
+    """{id: number of other rows linked with it}"""
+    sets = [shingles(t) for _, t in docs]
+    by = defaultdict(list)
+    for k, s in enumerate(sets):
+        for x in s:
+            by[x].append(k)
+    near = lambda s, o: 100 * len(s & o) >= 80 * len(s | o)
+    return {i: sum(near(sets[k], sets[b]) for b in {b for x in sets[k] for b in by[x] if b != k}) for k, (i, _) in enumerate(docs)}
+
+
 def licence_base(text):
     w = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", ascii_lower(text))
     phrases = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved": "reserved"}

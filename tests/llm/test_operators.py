@@ -226,6 +226,16 @@ def test_quality_keeps_columns(spark):
 
 def test_near(odd, pairs):
     assert sorted(map(tuple, ngram_join.components(odd).collect())) == brute.near(pairs)
+    counted = ngram_join.components(odd, count_links=True)
+    assert {r.doc_id: r.n_links for r in counted.collect()} == brute.links(pairs)
+    assert sorted(map(tuple, counted.drop("n_links").collect())) == brute.near(pairs)
+
+
+def test_near_links_of_repeated_ids(spark):
+    base = "one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen".split()
+    rows = [(1, " ".join(base)), (1, " ".join(base)), (2, " ".join(base[:-1])), (3, None), (4, "other"), (4, "words")]
+    got = ngram_join.components(spark.createDataFrame(rows, "doc_id long, text string"), count_links=True)
+    assert sorted((r.doc_id, r.component_id, r.n_links) for r in got.collect()) == [(1, 1, 2), (1, 1, 2), (2, 1, 2), (3, 3, 0), (4, 4, 0), (4, 4, 0)]
 
 
 @pytest.mark.parametrize("seed", range(2))
@@ -243,8 +253,9 @@ def test_near_families_and_tiles(spark, seed, monkeypatch):
             docs.append(" ".join(words))
     pairs = list(enumerate(docs))
     r.shuffle(pairs)
-    got = ngram_join.components(spark.createDataFrame(pairs, "doc_id long, text string"))
-    assert sorted(map(tuple, got.collect())) == sorted(brute.near(pairs))
+    got = ngram_join.components(spark.createDataFrame(pairs, "doc_id long, text string"), count_links=True).collect()
+    assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in got) == sorted(brute.near(pairs))
+    assert {r.doc_id: r.n_links for r in got} == brute.links(pairs)
 
 
 def test_near_large_family(spark):
@@ -266,6 +277,11 @@ def test_near_bitmap_links_are_exact():
     for a, b in got:
         both = len(np.intersect1d(sets[a], sets[b]))
         assert 100 * both >= 80 * (len(sets[a]) + len(sets[b]) - both)
+    rows = rng.integers(1, 4, len(sets))
+    partner = lambda a, b: 100 * len(np.intersect1d(sets[a], sets[b])) >= 80 * len(np.union1d(sets[a], sets[b]))
+    for side in (None, rng.integers(0, 2, len(sets))):
+        want = [sum(rows[b] for b in range(len(sets)) if b != a and partner(a, b) and (side is None or side[a] != side[b])) for a in range(len(sets))]
+        assert ngram_join._count_links(sets, rows, side, 80).tolist() == want
     head = list(range(len(sets)))
     for a, b in got:
         x, y = head[a], head[b]
@@ -556,6 +572,9 @@ def test_clashing_columns(spark):
     base = "one two three four five six seven"
     docs = spark.createDataFrame([(k, t, *["mine"] * len(names)) for k, t in enumerate([base, base, None, "MIT License a@b.co"])], "doc_id long, text string, " + ", ".join(f"{n} string" for n in names))
     assert {r.doc_id: r.component_id for r in ngram_join.components(docs).collect()} == {0: 0, 1: 0, 2: 2, 3: 3}
+    cleaned = line_dedup.clean(docs.withColumn("keys", F.lit("mine")), min_docs=2)
+    assert cleaned.columns == [*docs.columns, "keys", "n_lines", "n_dropped"]
+    assert sorted((r.doc_id, r.id, r["keys"], r.n_dropped) for r in cleaned.collect()) == [(0, "mine", "mine", 1), (1, "mine", "mine", 1), (2, "mine", "mine", 0), (3, "mine", "mine", 0)]
     stay = ngram_join.drop_near_duplicates(docs)
     assert stay.columns == docs.columns and sorted(r.doc_id for r in stay.collect()) == [0, 2, 3]
     assert {r.doc_id: r.n_email for r in pii.report(docs).collect()}[3] == 1 and {r.doc_id: r.labels for r in licenses.scan(docs).collect()}[3] == "mit"
