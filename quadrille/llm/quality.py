@@ -16,6 +16,7 @@ result column are replaced; ``keep`` returns the input's columns as they were, w
 
 from __future__ import annotations
 
+import json
 import math
 
 from pyspark.sql import Column, DataFrame
@@ -166,14 +167,9 @@ def fit(patterns: dict[int, int], names: list[str], defects: dict[str, tuple[str
     return now
 
 
-def posterior_column(model: Mixture, votes: list[Column]) -> Column:
-    """The probability of being good."""
-
-    def mass(share: float, rates: list[float]) -> Column:
-        return sum((F.when(v == 0, math.log(r)).when(v == 2, math.log(1 - r)).otherwise(0.0) for v, r in zip(votes, rates, strict=True)), F.lit(math.log(share)))
-
-    good, *junk = [mass(s, r) for s, r in zip(model.shares, model.rates, strict=True)]
-    return 1 / (1 + sum((F.exp(x - good) for x in junk), F.lit(0.0)))
+def posteriors(model: Mixture, patterns: list[int], names: list[str]) -> list[tuple[int, float]]:
+    """Each pattern with the probability of being good."""
+    return [(p, model.posterior([p // 3**k % 3 for k in range(len(names))])[0]) for p in patterns]
 
 
 def assess(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.5, carry: bool = False) -> DataFrame:
@@ -195,9 +191,12 @@ def keep(docs: DataFrame, text_col: str = "text", threshold: float = 0.5) -> Dat
 def _judged(docs: DataFrame, names: list[str], text_col: str, threshold: float) -> DataFrame:
     held = materialise(counted(docs, text_col).select(*[F.col(f"`{c}`") for c in names], *COUNTS), "quality-counts")
     by_name = rules()
-    votes = list(by_name.values())
-    pattern = sum((v * 3**k for k, v in enumerate(votes)), F.lit(0))
+    pattern = sum((v * 3**k for k, v in enumerate(by_name.values())), F.lit(0))
     failed = (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > MOST_REPEATED * F.col("n_words"))
-    patterns = {r[0]: r[1] for r in held.where(~failed).groupBy(pattern.alias("p")).agg(F.count(F.lit(1)).alias("n")).collect()}
-    model = fit(patterns, list(by_name))
-    return held.withColumn("base_failed", failed).withColumn("posterior", posterior_column(model, votes)).withColumn("kept", ~failed & (F.col("posterior") >= threshold))
+    counts = held.groupBy(pattern.alias("p")).agg(F.count(F.lit(1)).alias("n"), F.count_if(~failed).alias("judged")).collect()
+    model = fit({r.p: r.judged for r in counts if r.judged}, list(by_name))
+    # One row for each pattern that occurs, 3 ** rules at most: a look-up takes the place of a long expression for each class.
+    rows = json.dumps([{"__pattern": p, "posterior": x} for p, x in posteriors(model, [r.p for r in counts], list(by_name))])
+    table = docs.sparkSession.range(1).select(F.inline(F.from_json(F.lit(rows), "array<struct<__pattern:int,posterior:double>>")))
+    judged = held.withColumn("base_failed", failed).withColumn("__pattern", pattern).join(F.broadcast(table), "__pattern").drop("__pattern")
+    return judged.withColumn("kept", ~F.col("base_failed") & (F.col("posterior") >= threshold))
